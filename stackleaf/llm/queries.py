@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, secrets
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .simhash import near_duplicates
+from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] < 3)
+    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return spans.select("doc_id", *counts, F.sha2(secrets.described(base), 256).alias("base_sha256"), secrets.described(F.col("found")).alias("spans"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -31,15 +40,29 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(quality.held_out(F.col("doc_id"), 5) != 0)
+    stats = quality.measure(table(spark, sf_dir, "documents"))
+    scored = quality.score(stats, quality.fit(stats, labels))
+    return scored.select(F.col("id").alias("doc_id"), (quality.held_out(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scans": op1_secret_scans,
         "op2_line_dedup": op2_line_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_exact_topk": op6_exact_topk,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
@@ -59,6 +82,32 @@ ORACLE = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op3_source_mixing": r"""
+        WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+        weighed AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM sources),
+        filling AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+            sum(w) OVER (ORDER BY cap::DOUBLE / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM weighed),
+        judged AS (SELECT *, cap * ws <= rest * w AS is_full, cap::DOUBLE / w AS turn FROM filling),
+        level AS (SELECT rest AS level_rest, ws AS level_ws FROM judged WHERE NOT is_full ORDER BY turn, source ASC NULLS LAST LIMIT 1),
+        goals AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (level_rest * w)::DOUBLE / level_ws::DOUBLE END AS target FROM judged LEFT JOIN level ON true),
+        each_one AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS each FROM goals),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size NULLS FIRST, doc_id NULLS FIRST) - 1 AS rank FROM sized),
+        offsets AS (SELECT source, source_size, target, each, k, ('0x' || substr(md5('mix:' || k || ':' || coalesce('=' || source, 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+            FROM each_one, range(16) AS r(k)),
+        tried AS (SELECT o.source, o.k, o.u, abs(sum(size * least(floor(o.each * (rank + 1)::DOUBLE + o.u)::BIGINT - floor(o.each * rank::DOUBLE + o.u)::BIGINT, 3))::DOUBLE - any_value(o.target)) AS off
+            FROM ranked JOIN offsets o ON ranked.source IS NOT DISTINCT FROM o.source GROUP BY o.source, o.k, o.u),
+        best AS (SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS place FROM tried) WHERE place = 1)
+        SELECT doc_id, size, source_size, target, size * least(floor(each * (rank + 1)::DOUBLE + u)::BIGINT - floor(each * rank::DOUBLE + u)::BIGINT, 3) AS taken
+        FROM ranked JOIN each_one ON ranked.source IS NOT DISTINCT FROM each_one.source JOIN best ON ranked.source IS NOT DISTINCT FROM best.source""",
+    "op6_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2]))::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {LOWER} AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
