@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
+from . import ctw, piece_lattice, quality, secrets
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +49,14 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(quality.held_out(F.col("doc_id"), 5) != 0)
     stats = quality.measure(table(spark, sf_dir, "documents"))
@@ -55,15 +68,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_line_dedup": op2_line_dedup,
         "op3_source_mixing": op3_source_mixing,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_exact_topk": op6_exact_topk,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": pipeline,
     }
 
 
