@@ -82,13 +82,17 @@ def suffix_array(s: list[int], size: int) -> list[int]:
     n = len(s)
     if n == 1:
         return [0]
-    kind = bytearray(n)  # 1: S, smaller than the suffix after it
-    kind[-1] = 1
-    for i in range(n - 2, -1, -1):
-        kind[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and kind[i + 1])
-    ends = np.cumsum(np.bincount(np.array(s), minlength=size)).tolist()
+    values = np.array(s)
+    # 1: S, smaller than the suffix after it. Equal neighbours have the kind of the next position that differs; the last is S.
+    step = np.sign(np.diff(values))
+    differs = np.where(step != 0, np.arange(n - 1), n)
+    differs = np.minimum.accumulate(differs[::-1])[::-1]
+    types = np.ones(n, dtype=bool)
+    types[:-1] = step[np.minimum(differs, n - 2)] > 0
+    kind = types.tobytes()
+    ends = np.cumsum(np.bincount(values, minlength=size)).tolist()
     begins = [0, *ends[:-1]]
-    lms = [i for i in range(1, n) if kind[i] and not kind[i - 1]]
+    lms = (np.flatnonzero(types[1:] & ~types[:-1]) + 1).tolist()
 
     def induce(order: list[int]) -> list[int]:
         sa, tail = [-1] * n, ends[:]
@@ -112,16 +116,18 @@ def suffix_array(s: list[int], size: int) -> list[int]:
         return sa
 
     sa = induce(lms)
-    until = {a: b + 1 for a, b in zip(lms, [*lms[1:], n - 1], strict=True)}
-    names, name, last = {}, -1, None
-    for i in sa:
-        if i in until:
-            piece = s[i : until[i]]
-            if piece != last:
-                name += 1
-                last = piece
-            names[i] = name
-    reduced = [names[i] for i in lms]
+    until = np.zeros(n, dtype=np.int64)
+    until[lms] = [b + 1 for b in [*lms[1:], n - 1]]
+    placed = np.array(sa)
+    placed = placed[until[placed] > 0]
+    names, name, last = np.zeros(n, dtype=np.int64), -1, None
+    for i, z in zip(placed.tolist(), until[placed].tolist(), strict=True):
+        piece = s[i:z]
+        if piece != last:
+            name += 1
+            last = piece
+        names[i] = name
+    reduced = names[lms].tolist()
     if name + 1 < len(lms):
         ranked = [lms[i] for i in suffix_array(reduced, name + 1)]
     else:
@@ -293,21 +299,20 @@ def _judged(span: int, batch_bytes: int):
             held = 0
 
         for b in batches:
-            for r in b.to_pylist():
-                if r["h"] != key:
+            for h, ctx, body, off, many, i, th, lo, hi in zip(*(b.column(c).to_pylist() for c in ("h", "ctx", "body", "off", "many", "id", "th", "lo", "hi")), strict=True):
+                if h != key:
                     close()
-                    key = r["h"]
+                    key = h
                     if held > batch_bytes:
                         sort()
-                m = group.get(r["ctx"])
-                own = (r["id"], r["th"], r["lo"], r["hi"]) if r["lo"] is not None else None
+                own = (i, th, lo, hi) if lo is not None else None
+                m = group.get(ctx)
                 if m is None:
-                    group[r["ctx"]] = {"body": r["body"], "off": r["off"], "many": r["many"], "own": own}
+                    m = group[ctx] = {"body": body, "off": off, "many": many, "own": own}
                 else:
                     if not m["many"] and m["own"]:
                         done.append(m["own"])
                     m["many"] = True
-                m = group[r["ctx"]]
                 if m["many"] and own:
                     done.append(own)
             if len(done) > 10_000:
