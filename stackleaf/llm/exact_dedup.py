@@ -216,7 +216,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     seen = narrow.mapInArrow(shipped, "id long, digest binary, body binary")
     members = materialize(seen.join(index, "digest"), "exact-members")
-    stays = members.where(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]).select("digest", F.col("body").alias("stay"))
+    # Written, so that the join's two sides are plain exchanges and Spark can split a group that holds very many rows.
+    stays = materialize(members.where(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]).select("digest", F.col("body").alias("stay")), "exact-stays")
     checked = members.join(stays, "digest").select("id", "digest", (F.col("body") == F.col("stay")).alias("same"), F.when(F.col("body") != F.col("stay"), F.col("body")).alias("body"))
     differs = checked.where("not same")
     joined = base.join(index, "digest", "left").select("id", "sha", "keep_id", "n")
