@@ -26,9 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def limit_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of few rows: very long texts may stand together (after a sort by size), and a worker holds a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there, lost executors lose nothing."""
     spark = df.sparkSession
+    limit_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
@@ -60,4 +68,5 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces
+from .common import as_bytes, limit_batches, pieces
 from .line_dedup import mix
 
 #: Fixed value: SentencePiece's mark for a space.
@@ -129,17 +129,40 @@ class Lattice:
             window[own, 0] = 1.0
         return starts, weights, which
 
-    def sample(self, texts: list[bytes], keys: np.ndarray) -> list[np.ndarray]:
-        """For each text its piece ids, drawn with the text's key."""
+    def sample(self, texts: list[bytes], keys: np.ndarray, most: int = 40_000) -> list[np.ndarray]:
+        """For each text its piece ids, drawn with the text's key; ``most`` chunks are worked on at a time, however long a text is."""
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[tuple[int, int, list[bytes]]] = []
+        held = 0
+
+        def flush() -> None:
+            rows = np.array([t for t, _, _ in waiting], dtype=np.int64)
+            drawn = self._drawn([c for *_, c in waiting], keys[rows], np.array([n for _, n, _ in waiting], dtype=np.int64))
+            for t, ids in zip(rows.tolist(), drawn, strict=True):
+                parts[t].append(ids)
+            waiting.clear()
+
+        for t, text in enumerate(texts):
+            chunks = self.chunks(text)
+            for n in range(0, len(chunks), most):
+                waiting.append((t, n, chunks[n : n + most]))
+                held += len(waiting[-1][2])
+                if held >= most:
+                    flush()
+                    held = 0
+        if waiting:
+            flush()
+        return [np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in parts]
+
+    def _drawn(self, parts: list[list[bytes]], keys: np.ndarray, first_numbers: np.ndarray) -> list[np.ndarray]:
+        """The pieces of each part: a run of a text's chunks, with the text's key and the first chunk's number in the text."""
         index: dict[bytes, int] = {}
-        lists = [[index.setdefault(c, len(index)) for c in self.chunks(t)] for t in texts]
+        lists = [[index.setdefault(c, len(index)) for c in x] for x in parts]
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         chunk = np.array([c for x in lists for c in x], dtype=np.int64)
-        if not len(chunk):
-            return [np.zeros(0, dtype=np.int32) for _ in texts]
         starts, weights, which = self.filtered(list(index))
         firsts = np.concatenate([[0], np.cumsum(counts)])
-        number = np.arange(len(chunk)) - np.repeat(firsts[:-1], counts)
+        number = np.arange(len(chunk)) - np.repeat(firsts[:-1] - first_numbers, counts)
         key = mix(np.repeat(keys.astype(np.uint64), counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 3)
         live, at, drawn, steps, step = np.arange(len(chunk)), starts[chunk + 1] - 1, [], np.zeros(len(chunk), dtype=np.int64), 0
         while len(live):
@@ -176,6 +199,7 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, seed: int = 1) -> DataFrame:
     """(id, ids, n_bytes, decoded): each row's sampled pieces, the text's bytes, and the bytes that the pieces decode to."""
     spark: SparkSession = docs.sparkSession
+    limit_batches(spark)
     vocab = spark.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +219,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     """(doc_id, n_bytes, n_pieces, ids_sha256, lossless) of ``encode``: the hash is over the ids as 32-bit little-endian integers."""
     import hashlib
 
+    limit_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
