@@ -102,18 +102,20 @@ def probe_keys(prints: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The SimHash of a text's word shingles: a bit is 1 if set in over half of the hashes."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of a text's word shingles in order, repeats included; fewer words: of the whole sequence; none: empty."""
     words = text.lower().split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], dtype=np.uint64)
     line = b" ".join(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, map(slice, starts, ends[shingle - 1 :].tolist())), repeat(42)), dtype=np.uint64, count=len(starts))
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, map(slice, starts, ends[shingle - 1 :].tolist())), repeat(42)), dtype=np.uint64, count=len(starts))
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The SimHash: a bit is 1 if set in over half of the hashes."""
     total = np.zeros(64, dtype=np.int64)
     raw = hashes.view(np.uint8).reshape(-1, 8)
     for i in range(0, len(raw), 255):
@@ -122,6 +124,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The SimHash of a text's word shingles; without words 0."""
+    return fold(shingle_hashes(text, shingle))
+
+
 def _printed(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -180,12 +187,8 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``; fp is the fingerprint as a signed long."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    printed = materialize(narrow.mapInArrow(_printed(shingle), "id long, fp long"), "simhash-prints")
-    firsts = materialize(printed.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
-    pairs = links(firsts.select("fp"), most)
+def _named(printed: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``printed``, from the links (a, b) between fingerprints."""
     labels = materialize(components(pairs), "simhash-components")
     # The label is the smallest fingerprint; the smallest id of the component stands for it.
     named = firsts.join(labels, firsts["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
@@ -195,7 +198,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return printed.join(of, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``; fp is the fingerprint as a signed long."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    printed = materialize(narrow.mapInArrow(_printed(shingle), "id long, fp long"), "simhash-prints")
+    firsts = materialize(printed.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
+    return _named(printed, firsts, links(firsts.select("fp"), most))
+
+
+def near_duplicates_by_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 3, similarity: float = 0.8) -> DataFrame:
+    """As ``near_duplicates``, with links also between texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+    Fingerprints of texts that are 0.8 alike differ in about ten bits, far beyond what segments of 64 bits can be probed for."""
+    from .shingle_links import similar_links, sketched
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    printed = materialize(sketched(narrow, shingle), "simhash-prints")
+    firsts = materialize(printed.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
+    near = materialize(links(firsts.select("fp"), most), "simhash-links")
+    alike = similar_links(narrow, printed, near, shingle, similarity)
+    return _named(printed.select("id", "fp"), firsts, near.union(alike))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 3, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest; all columns. Rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, most).where("doc_id > component_id").select("doc_id").distinct()
+    found = near_duplicates_by_similarity(docs, id_col, text_col, shingle, most, similarity)
+    gone = materialize(found.where("doc_id > component_id").select("doc_id").distinct(), "simhash-gone")
     return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stackleaf.llm import ctw, exact_dedup, line_dedup, mixing, piece_lattice, quality, queries, secrets, simhash, suffix_dedup, topk
+from stackleaf.llm import ctw, exact_dedup, line_dedup, mixing, piece_lattice, quality, queries, secrets, shingle_links, simhash, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, kept_sha256 string"
 
@@ -101,6 +101,39 @@ def test_simhash(docs):
         assert (r.fp % 2**64, r.component_id) == (fp[r.doc_id], label[r.doc_id])
 
 
+@pytest.mark.parametrize("few", [2_000_000, -1])
+def test_similar_texts_join(spark, few, monkeypatch):
+    """Components by fingerprints or a Jaccard similarity of 0.8, against all pairs: edited copies, a chain, a passage in common, repeats."""
+    monkeypatch.setattr(shingle_links.similar_links, "__defaults__", (few,))
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(4000)}"
+    base = [[word() for _ in range(220)] for _ in range(6)]
+    made = [None, "", "one two", "One  two", " ".join(base[0]), " ".join(base[0])]
+    for b in base:
+        for _ in range(9):
+            w = list(b)
+            for _ in range(r.choice([1, 2, 4, 9, 14])):
+                w[r.randrange(len(w))] = word()
+            made.append(" ".join(w))
+    chain = [word() for _ in range(300)]
+    for k in range(0, 60, 12):
+        made.append(" ".join(chain[k : k + 240]))
+    passage = [word() for _ in range(60)]
+    made += [" ".join([word() for _ in range(120)] + passage) for _ in range(6)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in made]
+    fp = [simhash.fingerprint(raw(t), 5) for t in made]
+    alike = lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 3 or (sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    label = list(range(len(made)))
+    for _ in made:
+        label = [min(label[j] for j in range(len(made)) if i == j or alike(i, j)) for i in range(len(made))]
+    rows = spark.createDataFrame([(*x, 0) for x in enumerate(made)] + [(None, made[4], 0), (4, made[4], 0)], "doc_id long, text string, dig int")
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates_by_similarity(rows).collect() if x.doc_id is not None}
+    assert got == dict(enumerate(label))
+    kept = simhash.keep_first(rows)
+    assert kept.columns == rows.columns
+    assert sorted(x.doc_id for x in kept.where("doc_id is not null").distinct().collect()) == sorted(set(label)) and kept.where("doc_id is null").count() == 1
+
+
 def test_golay_keys_meet():
     r, code = np.random.default_rng(1), simhash.Golay()
     a = r.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -178,7 +211,7 @@ def test_quality_held_out(spark):
 
 def test_empty(empty, spark):
     assert not exact_dedup.exact_dedup(empty).count() and not line_dedup.dedup_lines(empty).count() and not mixing.mix(empty).count()
-    assert not simhash.near_duplicates(empty).count() and not suffix_dedup.remove_repeats(empty).count() and not ctw.score(empty).count()
+    assert not simhash.near_duplicates(empty).count() and not simhash.keep_first(empty).count() and not suffix_dedup.remove_repeats(empty).count() and not ctw.score(empty).count()
     assert not piece_lattice.digests(empty).count() and not secrets.scan(empty).count()
     assert not topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count()
     stats = quality.measure(empty)
