@@ -24,7 +24,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component (shingles of five words, at most 3 bits) the smallest doc_id stays."""
+    """Of each component (shingles of five words: fingerprints within 3 bits, or sets of a Jaccard similarity of 0.8) the smallest doc_id stays."""
     return simhash.keep_first(docs, shingle=5)
 
 
