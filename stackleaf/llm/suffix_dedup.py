@@ -8,6 +8,9 @@ the run's bytes (its context) hold exactly these windows, and each window of the
    lets through by mistake costs a shipment and changes nothing.
 2. Contexts go to their k-gram's shard. Contexts that are equal within a piece of a task are covered at once, and only one goes on, so a
    passage that a third of all documents hold sends one row a piece.
+   A k-gram that more than ``hot`` contexts share would overload its shard. Its windows hold either the bytes before the k-gram or those after it, so each
+   context is split in two, keyed by the k-gram with half of the missing bytes at that side. Equal windows go the same way, as their k-gram stands at the
+   same place in them. This repeats while a key is hot, until the key is the whole window; contexts that are frequent as a whole leave on the way.
 3. In a shard, equal contexts are covered whole. Where a k-gram has different contexts, those that could share ``span`` bytes (by the longest
    common extensions to the right and to the left) form the shard's text. Its suffix array comes from induced sorting: classify suffixes as S or L,
    sort the leftmost-smaller substrings recursively, induce the whole order from theirs; the permuted common prefixes (Phi) then give
@@ -235,10 +238,14 @@ def _filter_words(bits: int):
 SHIPPED = "kind int, h long, ctx binary, body binary, off int, many boolean, id long, th long, lo int, hi int"
 
 
-def _shipped(span: int, bits: int, filter_bytes):
-    """kind 0: contexts for the shards; kind 1: covered runs known here."""
+def _shipment(rows: list[tuple]) -> pa.RecordBatch:
     names = [x.split()[0] for x in SHIPPED.split(", ")]
     types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _shipped(span: int, bits: int, filter_bytes):
+    """kind 0: contexts for the shards; kind 1: covered runs known here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(filter_bytes.value, dtype=np.int64)
@@ -261,12 +268,61 @@ def _shipped(span: int, bits: int, filter_bytes):
                     rows.append((0, key, ctx, body, off, True, None, None, None, None))
                     rows += [(1, None, None, None, None, None, i, th, a, z) for _, _, i, th, a, z in members]
             for k in range(0, len(rows), 4096):
-                cols = list(zip(*rows[k : k + 4096], strict=True))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                yield _shipment(rows[k : k + 4096])
 
     return run
 
 
+def wider(size: int, span: int) -> int:
+    """The length of the grams that split the contexts around grams of ``size`` bytes."""
+    return size + (span - size + 1) // 2
+
+
+def _split(span: int, size: int):
+    """Contexts (kind 0) around grams of ``size`` bytes to contexts around wider ones; each window goes to exactly one."""
+    longer = wider(size, span)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            rows = []
+            for body, off, many, i, th, lo in zip(*(b.column(c).to_pylist() for c in ("body", "off", "many", "id", "th", "lo")), strict=True):
+                windows = len(body) - span + 1
+                cut = min(max(off - (longer - size) + 1, 0), windows)  # windows that start before it hold the bytes before the gram
+                for side, a, z, at in ((0, 0, cut, off - (longer - size)), (1, cut, windows, off)):
+                    if a < z:
+                        part = body[a : z - 1 + span]
+                        key = xxhash.xxh64_intdigest(body[at : at + longer], 2 * size + side) - (1 << 63)
+                        place = (None, None) if lo is None else (lo + a, lo + z - 1 + span)
+                        rows.append((0, key, xxhash.xxh3_128_digest(part), part, at - a, many, i, th, *place))
+            for k in range(0, len(rows), 4096):
+                yield _shipment(rows[k : k + 4096])
+
+    return run
+
+
+def _without_hot(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """The contexts, split until no key has more than ``hot`` different ones, and the runs (id, th, lo, hi) of those that are frequent as a whole.
+    Hot keys and frequent contexts are broadcast: at most 2^20 of each, as each stands for 2^-20 of the rows or more."""
+    hot = max(hot, contexts.count() >> 20)
+    calm, covered, size = None, None, K
+    plus = lambda a, b: b if a is None else a.unionByName(b)
+    while True:
+        keys = materialize(contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), "suffix-hot-keys")
+        if keys.isEmpty():
+            return plus(calm, contexts), covered
+        calm = plus(calm, contexts.join(F.broadcast(keys), "h", "left_anti"))
+        busy = contexts.join(F.broadcast(keys), "h", "left_semi")
+        frequent = materialize(busy.groupBy("h", "ctx").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h", "ctx"), "suffix-frequent")
+        same = busy.join(F.broadcast(frequent), ["h", "ctx"], "left_semi")
+        covered = plus(covered, same.where("lo is not null").select("id", "th", "lo", "hi"))
+        none = {c: F.lit(None).cast(t) for c, t in (("id", "long"), ("th", "long"), ("lo", "int"), ("hi", "int"))}
+        one = same.groupBy("h", "ctx").agg(F.first("body").alias("body"), F.first("off").alias("off")).select(F.lit(0).alias("kind"), "h", "ctx", "body", "off", F.lit(True).alias("many"), *(v.alias(c) for c, v in none.items()))
+        contexts = materialize(busy.join(F.broadcast(frequent), ["h", "ctx"], "left_anti").unionByName(one), "suffix-busy")
+        if size == span:  # the key is the window itself, and what is left of it are single contexts
+            return plus(calm, contexts), covered
+        contexts, size = materialize(contexts.mapInArrow(_split(span, size), SHIPPED), "suffix-split"), wider(size, span)
+
+
 def _judged(span: int, batch_bytes: int):
     """A shard's contexts, those of a k-gram together and equal ones next to each other, to covered runs."""
 
@@ -347,7 +403,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, filter_bits: int = 1 << 26, batch_bytes: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, filter_bits: int = 1 << 26, batch_bytes: int = 1 << 20, hot: int = 1 << 12) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) for every row: the bytes left and the runs removed."""
     if span < 2 * K:
         raise ValueError(f"span must be {2 * K} bytes or more")
@@ -361,8 +417,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = spark.sparkContext.broadcast(bitmap.tobytes())
     shipped = materialize(rows.mapInArrow(_shipped(span, filter_bits, known), SHIPPED), "suffix-contexts")
     cover = "id long, th long, lo int, hi int"
-    shards = shipped.where("kind = 0").repartition("h").sortWithinPartitions("h", "ctx")
+    contexts, frequent = _without_hot(shipped.where("kind = 0"), span, hot)
+    shards = contexts.repartition("h").sortWithinPartitions("h", "ctx")
     found = shards.mapInArrow(_judged(span, batch_bytes), cover).unionByName(shipped.where("kind = 1").select("id", "th", "lo", "hi"))
+    if frequent is not None:
+        found = found.unionByName(frequent)
     spans = materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans").withColumnsRenamed({"id": "id2", "th": "th2"})
     met = rows.join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "text", "spans")
     return met.mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>")
