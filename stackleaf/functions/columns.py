@@ -56,3 +56,36 @@ def snippet(text: Column, limit: int = 300) -> Column:
 def dot(a: Column, b: Column) -> Column:
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
+
+
+#: What changes at each fetch of a page without a change of its content: dates, clock times, ages.
+CHURN = (
+    "[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?", "\\b[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?\\b", "(?i)\\b[0-9]+[ \\t]*(minutes?|hours?|days?|weeks?|months?|years?)[ \\t]+ago\\b",
+    "[0-9]+[ \\t]*(分钟|小时|天|周|个月|年)前",
+)
+#: Units of raw times, as (name, divisor, seconds to take off); the first that gives a plausible time counts.
+UNITS = (("unix_s", 1, 0), ("unix_ms", 1_000, 0), ("unix_us", 1_000_000, 0), ("webkit_us", 1_000_000, 11_644_473_600))
+
+
+def body_canonical(text: Column) -> Column:
+    """A page's text without what changes at each fetch, lines of two characters or fewer, and repeated white space."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern in CHURN:
+        out = F.regexp_replace(out, pattern, " ")
+    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) > 2)
+    return F.trim(F.regexp_replace(F.array_join(lines, " "), "[ \\t\\n\\r]+", " "))
+
+
+def time_unit(raw: Column, now: int) -> Column:
+    """The first unit in which a raw time lies between 1990 and 400 days from now; null if none does."""
+    out = F.lit(None).cast("string")
+    for name, divisor, off in reversed(UNITS):
+        out = F.when((raw / divisor - off).between(631_152_000, now + 400 * 86400), name).otherwise(out)
+    return out
+
+
+def to_seconds(raw: Column, unit: Column) -> Column:
+    out = F.lit(None).cast("long")
+    for name, divisor, off in UNITS:
+        out = F.when(unit == name, F.floor(raw / divisor) - off).otherwise(out)
+    return out

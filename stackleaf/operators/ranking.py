@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -80,3 +80,17 @@ def interleave(lists: DataFrame, first: str, second: str) -> DataFrame:
     key = F.when(F.col("rank") <= short, F.struct(F.lit(0).alias("tail"), F.col("rank").alias("a"), turn.alias("b"))).otherwise(F.struct(F.lit(1).alias("tail"), turn.alias("a"), F.col("rank").alias("b")))
     best = placed.groupBy("query_id", "doc_id").agg(F.min(key).alias("key"))
     return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("key", "doc_id")).cast("int")).drop("key")
+
+
+def guarantee_bonus(depth: Column, weights: tuple[float, ...], k: int = 60) -> Column:
+    """The share of its best term a document must gain so that first place in one facet beats last place in all; 0 where none is needed."""
+    top, total = max(weights), sum(weights)
+    return F.round(F.when(depth <= 1, 0.0).otherwise(F.greatest(F.lit(0.0), ((k + 1) * total - (k + depth) * top) / (top * (depth - 1)))), 9)
+
+
+def page_window(limit: Column, offset: Column, over_fetch: int = 1, least: int = 50, most_rows: int = 200, ceiling: int = 2000) -> dict[str, Column]:
+    """Columns limit, offset, depth (rows a facet gives) and ceiling_hit: the asked page within its bounds."""
+    rows = F.greatest(F.lit(1), F.least(limit, F.lit(most_rows)))
+    skipped = F.greatest(F.lit(0), F.least(offset, F.lit(ceiling - 1)))
+    want = F.greatest(F.lit(least), (rows + skipped) * over_fetch)
+    return {"limit": rows, "offset": skipped, "depth": F.least(want, F.lit(ceiling)), "ceiling_hit": want > ceiling}

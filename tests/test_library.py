@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 from stackleaf.functions import columns as C
 from stackleaf.operators import library as L
 from stackleaf.operators import ranking as R
+from stackleaf.plans import more
 from stackleaf.plans import queries as Q
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "events", "embeddings", "benchmark", "nation")
+TABLES = ("documents", "pages", "events", "embeddings", "benchmark", "nation", "conversations")
 
 
 def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(Q.queries()))
+QUERIES, SQL = Q.queries() | more.queries(), Q.oracle_sql() | more.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS FROM '{DIR}/{t}.parquet'")
-    df = Q.queries()[name](spark, DIR)
-    sql = con.sql(Q.oracle_sql()[name])
+    df = QUERIES[name](spark, DIR)
+    sql = con.sql(SQL[name])
     cols = sorted(df.columns)
     assert cols == sorted(sql.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
