@@ -41,23 +41,33 @@ K = 32
 def kgram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the k bytes (a multiple of 8) at each position; len(data) - k + 1 of them."""
     n = len(data) - k + 1
-    word = np.zeros(len(data) - 7, dtype=np.uint64)
-    for b in range(8):
-        word |= data[b : len(data) - 7 + b].astype(np.uint64) << np.uint64(8 * b)
+    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
     h = np.zeros(n, dtype=np.uint64)
     for b in range(0, k, 8):
-        h = (h ^ word[b : b + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= word[b : b + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return mix(h, 1)
 
 
-def runs(texts: list[bytes], span: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, last window, anchor, hash) of each run; positions within the text."""
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def runs(texts: list[bytes], span: int, k: int = K, chunk_bytes: int = 1 << 16) -> Runs:
+    """(text, first window, last window, anchor, hash) of each run; positions within the text. Texts are taken a few at a time,
+    so that the arrays over their bytes stay in the processor's cache."""
     none = np.zeros(0, dtype=np.int64)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     kept = np.flatnonzero(sizes >= span)
     if not len(kept):
         return none, none, none, none, none.view(np.uint64)
+    chunk = np.cumsum(sizes[kept]) // chunk_bytes
+    found = [_runs(texts, part, sizes, span, k) for part in np.split(kept, np.flatnonzero(np.diff(chunk)) + 1)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _runs(texts: list[bytes], kept: np.ndarray, sizes: np.ndarray, span: int, k: int) -> Runs:
+    """The runs of the texts ``kept``, each of ``span`` bytes or more."""
     data = np.frombuffer(b"".join(texts[t] for t in kept), dtype=np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes[kept])])
     h = kgram_hashes(data, k)
