@@ -12,7 +12,7 @@ the run's bytes (its context) hold exactly these windows, and each window of the
    context is split in two, keyed by the k-gram with half of the missing bytes at that side. Equal windows go the same way, as their k-gram stands at the
    same place in them. This repeats while a key is hot, until the key is the whole window; contexts that are frequent as a whole leave on the way.
 3. In a shard, equal contexts are covered whole. Where a k-gram has different contexts, those that could share ``span`` bytes (by the longest
-   common extensions to the right and to the left) form the shard's text. Its suffix array comes from induced sorting: classify suffixes as S or L,
+   common extensions to the right and to the left) form the shard's text, each up to the end of its extensions and equal ones once. Its suffix array comes from induced sorting: classify suffixes as S or L,
    sort the leftmost-smaller substrings recursively, induce the whole order from theirs; the permuted common prefixes (Phi) then give
    each suffix's common prefix with its predecessor. A start whose common prefix with a neighbour reaches ``span`` is covered.
 4. Covered runs return to their documents, where they are joined and removed.
@@ -350,10 +350,17 @@ def _judged(span: int, batch_bytes: int):
                 members = list(group.values())
                 right = extensions([m["body"][m["off"] :] for m in members])
                 left = extensions([m["body"][: m["off"]][::-1] for m in members])
+                # What a context shares with others ends where its extensions end, so the rest of it needn't be sorted. Contexts that
+                # are equal up to there are covered up to there, and one of them stands for all.
+                parts: dict[bytes, list[tuple | None]] = {}
                 for m, r, f in zip(members, right, left, strict=True):
                     if r + f >= span:
-                        waiting.append((m["body"], m["own"] if not m["many"] else None))
-                        held += len(m["body"])
+                        a, z, own = m["off"] - f, m["off"] + r, m["own"] if not m["many"] else None
+                        parts.setdefault(m["body"][a:z], []).append(own and (own[0], own[1], own[2] + a, own[2] + z))
+                done.extend(own for owners in parts.values() if len(owners) > 1 for own in owners if own)
+                if len(parts) > 1:
+                    waiting.extend((part, owners[0] if len(owners) == 1 else None) for part, owners in parts.items())
+                    held += sum(map(len, parts))
             group.clear()
 
         def sort() -> None:
