@@ -8,10 +8,11 @@ from ..functions import columns as C
 from ..functions import understanding as U
 from ..functions import urls
 from ..operators import evaluation as E
-from ..operators import lifecycle as Y
 from ..operators import library as L
+from ..operators import lifecycle as Y
+from ..operators import links as K
 from ..operators import ranking as R
-from .queries import FACETS, HEALTH, HOSTS, RUNS, SAVES, WORDS, facets, health, saves, table
+from .queries import FACETS, HEALTH, HOSTS, RUNS, SAVES, WORDS, facets, health, hosts, saves, table
 
 NOW = 1706745600
 GRID = (60, 300, 600, 1200, 1800, 3600, 7200)
@@ -133,6 +134,28 @@ def q_pages(spark, d):
     return asked.select("request", *(v.alias(k) for k, v in R.page_window(F.col("asked"), F.col("skipped")).items()))
 
 
+def q_supersession(spark, d):
+    title = F.substring(F.coalesce("text", F.lit("")), 1, 80)
+    return K.supersession_edges(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("domain"), title.alias("title"), (F.col("doc_id") * 40_000).alias("date")))
+
+
+def q_folders(spark, d):
+    members = hosts(spark, d).select(F.col("page_id").alias("id"), F.col("host").alias("folder"))
+    anchors = members.where("id % 10 = 0").select("id", (1.0 / (1.0 + F.lit(0.2) * F.expr("id div 10 % 10"))).alias("strength"))
+    return K.folder_peers(anchors, members).select("id", F.round("strength", 9).alias("strength"))
+
+
+def q_intents(spark, d):
+    probed = facets(spark, d).where("facet = 'label'").select(F.col("query_id").alias("bookmark_id"), F.col("doc_id").alias("id"), F.when(F.col("rank") % 5 != 0, F.col("rank")).alias("probe_rank"))
+    return K.keep_intents(probed, 3, 10).groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
+
+
+def q_diff(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.sha2(urls.normalize(F.col("url")), 256).alias("url_hash"), C.html_title(F.col("html")).alias("title"))
+    one = lambda p: p.groupBy("url_hash").agg(F.min_by("title", "page_id").alias("title"))
+    return K.library_diff(one(pages.where("page_id % 3 <> 0")), one(pages.where("page_id % 2 = 0")), "url_hash", ("title",))
+
+
 def queries():
     return {
         "url_normalize": addresses,
@@ -155,6 +178,10 @@ def queries():
         "overlap_at_k": lambda s, d: E.overlap_at(facets(s, d), "content", "label", 10),
         "guarantee_bonus": q_bonus,
         "page_window": q_pages,
+        "supersession_edges": q_supersession,
+        "folder_peers": q_folders,
+        "intent_keep": q_intents,
+        "library_diff": q_diff,
     }
 
 
@@ -244,4 +271,16 @@ def oracle_sql():
         "guarantee_bonus": "SELECT n_nationkey * 10 AS depth, round(CASE WHEN n_nationkey * 10 <= 1 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, (61 * 3.7::DOUBLE - (60 + n_nationkey * 10)) / (n_nationkey * 10 - 1)) END, 9) AS bonus FROM nation",
         "page_window": """WITH a AS (SELECT n_nationkey AS request, greatest(1, least(n_nationkey * 20 - 10, 200)) AS "limit", greatest(0, least(n_regionkey * 700, 1999)) AS "offset" FROM nation),
             w AS (SELECT *, greatest(50, "limit" + "offset") AS want FROM a) SELECT request, "limit", "offset", least(want, 2000) AS depth, want > 2000 AS ceiling_hit FROM w""",
+        "supersession_edges": """WITH w AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(trim(left(coalesce(text, ''), 80)), '[ \\t\\n\\r]+'), lambda x: length(x) > 1)) AS w FROM documents),
+            m AS (SELECT a.doc_id AS src, b.doc_id AS dst, len(list_intersect(a.w, b.w))::DOUBLE AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.source = b.source AND b.doc_id - a.doc_id >= 3 AND len(a.w) > 0 AND len(b.w) > 0)
+            SELECT src, dst, round(0.7::DOUBLE * (i / (n - i)), 4) AS weight FROM m WHERE i / (n - i) >= 0.8::DOUBLE""",
+        "folder_peers": f"""WITH {HOSTS}, s AS (SELECT host FROM hosts WHERE host <> '' GROUP BY host HAVING count(*) <= 40),
+            a AS (SELECT host, max(1.0::DOUBLE / (1.0::DOUBLE + 0.2::DOUBLE * (page_id // 10 % 10))) AS strength FROM hosts JOIN s USING (host) WHERE page_id % 10 = 0 GROUP BY host) SELECT page_id AS id, round(strength, 9) AS strength FROM hosts JOIN a USING (host)""",
+        "intent_keep": f"""WITH {FACETS}, p AS (SELECT query_id, doc_id, CASE WHEN rank % 5 <> 0 THEN rank END AS r FROM lists WHERE facet = 'label'),
+            k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r NULLS LAST, doc_id) AS place FROM p)
+            SELECT CASE WHEN r IS NULL THEN 'not_found' WHEN r = 1 THEN '1' WHEN r <= 3 THEN '2-3' WHEN r <= 10 THEN '4-k' ELSE '>k' END AS bucket, count(*) AS n, count(*) FILTER (r <= 10 AND place <= 3) AS kept FROM k GROUP BY bucket""",
+        "library_diff": f"""WITH {ADDRESSES}, t AS (SELECT page_id, sha256(url_norm) AS url_hash, {TITLE} AS title FROM addresses), a AS (SELECT url_hash, arg_min(title, page_id) AS title FROM t WHERE page_id % 3 <> 0 GROUP BY url_hash),
+            b AS (SELECT url_hash, arg_min(title, page_id) AS title FROM t WHERE page_id % 2 = 0 GROUP BY url_hash)
+            SELECT count(*) FILTER (a.url_hash IS NOT NULL AND b.url_hash IS NOT NULL) AS common, count(*) FILTER (b.url_hash IS NULL) AS only_first, count(*) FILTER (a.url_hash IS NULL) AS only_second,
+                count(*) FILTER (a.url_hash IS NOT NULL AND b.url_hash IS NOT NULL AND a.title IS NOT DISTINCT FROM b.title) AS same_title FROM a FULL JOIN b ON a.url_hash = b.url_hash""",
     }
