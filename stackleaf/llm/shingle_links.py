@@ -1,10 +1,14 @@
 """Links between texts that share most of their word shingles, beyond what SimHash fingerprints can tell.
 
 Candidates share a band: the smallest hashes of the shingle set under four of 48 functions (twelve bands). Texts that are 0.8 alike share
-a band with probability 0.998. Within a band's bucket each member meets two of the bucket's texts, the one of the smallest id and one by a
-hash of text and band, so a bucket costs its size and never its square; the second differs from band to band. Candidates are
-then verified on whole shingle sets, in two rounds: first for each text the candidate of a smaller id that shares most bands, then all
-those between texts that the first round and the fingerprints have left in different components. What the rounds skip are links
+a band with probability 0.998. In a bucket of up to ``SMALL`` texts all pairs are candidates. In a larger one each member first meets two of
+its texts, the one of the smallest id and one by a hash of text and band, which joins most copies. Then all pairs of the texts of large
+buckets that could be alike are found by their rarest shingles (prefix filter): of two sets that are as alike as asked the smaller has a
+common shingle among its first n - ceil(2t / (1 + t) n) + 1, the larger among its first n - ceil(t n) + 1, and the first one they share leaves
+enough behind it in both. A template that many texts share stands behind their own shingles and is met only where it alone could make two
+texts alike enough; lists of a shingle longer than ``LIST`` are compared in blocks, and texts that are joined already aren't compared.
+Candidates are verified on whole shingle sets, in rounds: first for each text the candidate of a smaller id that shares most bands, then all
+those between texts that the rounds before and the fingerprints have left in different components. What the rounds skip are links
 within a component, which don't change it.
 
 Defined results: texts without words have no shingles and get no link here; rows without an id link by fingerprint only; repeated rows
@@ -18,14 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import as_bytes, materialize, pieces
 
 BANDS, ROWS = 12, 4
 #: Texts with a candidate are looked up by a broadcast of their ids up to so many (16 MB), counted first; by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
+#: Members of a bucket that all meet; texts of a shingle's list that Spark joins; texts in a block of a longer one.
+SMALL, LIST, BLOCK = 16, 64, 1_000
 
 _random = np.random.default_rng(5)
 FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -67,21 +74,83 @@ def sketched(narrow: DataFrame, shingle: int) -> DataFrame:
     return narrow.mapInArrow(run, "id long, fp long, dig long, n long, bands array<long>")
 
 
-def candidates(printed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, shared): texts as structs (id, dig, fp, n), a's id below b's, that met in ``shared`` bands and whose sizes allow the similarity."""
+def candidates(printed: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, shared): texts as structs (id, dig, fp, n), a's id below b's, that met in ``shared`` bands and whose sizes allow the similarity;
+    and the texts (id, dig, fp, n) of large buckets, of which only some pairs met."""
     texts = printed.where("id is not null and n > 0").groupBy("dig", "fp", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     texts = materialize(texts, "alike-texts")
     members = texts.select(F.explode("bands").alias("key"), F.struct("id", "dig", "fp", "n").alias("m"))
     drawn = F.struct(F.xxhash64("m.dig", "key").alias("h"), "m")
-    picked = members.groupBy("key").agg(F.count("*").alias("size"), F.min("m").alias("low"), F.min(drawn)["m"].alias("any")).where("size > 1")
-    centers = materialize(picked.select("key", F.explode(F.array_distinct(F.array("low", "any"))).alias("c")), "alike-centers")
+    picked = materialize(members.groupBy("key").agg(F.count("*").alias("size"), F.min("m").alias("low"), F.min(drawn)["m"].alias("any")).where("size > 1"), "alike-buckets")
+    large = picked.where(F.col("size") > SMALL)
+    centers = large.select("key", F.explode(F.array_distinct(F.array("low", "any"))).alias("c"))
+    few = materialize(members.join(picked.where(F.col("size") <= SMALL).select("key"), "key"), "alike-few")
     fits = (F.col("m.fp") != F.col("c.fp")) & (F.least("m.n", "c.n") >= F.greatest("m.n", "c.n") * F.lit(similarity) - 1e-6)
-    met = members.join(centers, "key").where(fits).select(F.least("m", "c").alias("a"), F.greatest("m", "c").alias("b"))
-    return materialize(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "alike-candidates")
+    small = few.join(few.withColumnRenamed("m", "c"), "key").where((F.col("m.id") < F.col("c.id")) & fits)
+    met = members.join(centers, "key").where(fits).union(small).select(F.least("m", "c").alias("a"), F.greatest("m", "c").alias("b"))
+    crowd = members.join(large.select("key"), "key").select("m.*").distinct()
+    return materialize(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "alike-candidates"), materialize(crowd, "alike-crowd")
 
 
-def shingle_sets(narrow: DataFrame, pairs: DataFrame, shingle: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """(dig, hashes): the sorted distinct shingle hashes of each text in ``pairs``, eight bytes each."""
+def crowd_pairs(crowd: DataFrame, sets: DataFrame, similarity: float, longest: int | None = None, block: int | None = None) -> DataFrame:
+    """(a, b): all pairs of the texts (id, dig, fp, n, label) of ``crowd``, as structs (id, dig, fp, n), of different labels that could be as alike as asked."""
+    longest, block = longest or LIST, block or BLOCK
+    t = similarity
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 64):
+            found = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in b.column("hashes")]
+            for i, x in enumerate(found):
+                yield pa.record_batch([pa.array(np.full(len(x), b.column("dig")[i].as_py())), pa.array(np.full(len(x), len(x))), pa.array(x)], ["dig", "n", "token"])
+
+    flat = materialize(sets.join(crowd.select("dig").distinct(), "dig", "left_semi").mapInArrow(shingles, "dig long, n long, token long"), "alike-shingles")
+    seen = flat.groupBy("token").agg(F.count("*").alias("df"))
+    # Shingles of one text meet nothing, but have their place in its order.
+    ranked = flat.join(seen, "token").withColumn("at", F.row_number().over(Window.partitionBy("dig").orderBy("df", "token")))
+    need = lambda share: F.ceil(F.lit(share) * F.col("n") - F.lit(1e-6))
+    first = ranked.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - need(t) + 1)).select("dig", "token", "at", (F.col("at") <= F.col("n") - need(2 * t / (1 + t)) + 1).alias("low"))
+    x = F.struct("n", "dig", "id", "fp", "label", "at", "low").alias("x")
+    lists = materialize(first.join(crowd, "dig").select("token", x), "alike-lists")
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.min("x.label").alias("l1"), F.max("x.label").alias("l2"), F.max("x.low").alias("met")).where("size > 1 and l1 <> l2 and met")
+    sizes = materialize(sizes.select("token", "size"), "alike-sizes")
+
+    one = lists.join(sizes.where(F.col("size") <= longest), "token").drop("size")
+    both = one.join(one.withColumnRenamed("x", "y"), "token")
+    least = F.ceil(F.lit(t / (1 + t)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-6))
+    behind = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1
+    before = F.struct("x.n", "x.dig") < F.struct("y.n", "y.dig")
+    few = both.where(before & F.col("x.low") & (F.col("x.label") != F.col("y.label")) & (F.col("x.n") >= F.lit(t) * F.col("y.n") - 1e-6) & (behind >= least))
+    few = few.select(F.col("x.dig").alias("p"), F.col("y.dig").alias("q"))
+
+    def compared(group: pa.Table) -> pa.Table:
+        own, other = group["own"][0].as_py(), group["other"][0].as_py()
+        part = group["part"].to_numpy()
+        n, dig, at, label, low = (group[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("n", "dig", "at", "label", "low"))
+        found = []
+        for rows, cols in ((own, other), (other, own))[: 1 + (own != other)]:
+            i, cols = np.flatnonzero((part == rows) & low), np.flatnonzero(part == cols)
+            for k in range(0, len(i), 256):
+                r = i[k : k + 256][:, None]
+                c = cols[None, :]
+                fit = ((n[r] < n[c]) | ((n[r] == n[c]) & (dig[r] < dig[c]))) & (label[r] != label[c]) & (n[r] >= t * n[c] - 1e-6)
+                fit &= np.minimum(n[r] - at[r], n[c] - at[c]) + 1 >= np.ceil(t / (1 + t) * (n[r] + n[c]) - 1e-6)
+                u, v = np.nonzero(fit)
+                found.append((dig[r[u, 0]], dig[cols[v]]))
+        p, q = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        return pa.table({"p": pa.array(p, pa.int64()), "q": pa.array(q, pa.int64())})
+
+    many = lists.join(sizes.where(F.col("size") > longest), "token").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    many = many.withColumn("part", F.pmod(F.xxhash64("x.dig"), F.col("parts")).cast("int"))
+    many = many.select("token", "x.n", "x.dig", "x.at", "x.label", "x.low", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    many = many.withColumns({"own": F.least("part", "with"), "other": F.greatest("part", "with")}).drop("with")
+    many = many.groupBy("token", "own", "other").applyInArrow(compared, "p long, q long")
+    pairs = materialize(few.union(many).distinct(), "alike-crowd-pairs")
+    end = lambda dig, name: crowd.select(F.col("dig").alias(dig), F.struct("id", "dig", "fp", "n").alias(name))
+    return pairs.join(end("p", "m"), "p").join(end("q", "c"), "q").select(F.least("m", "c").alias("a"), F.greatest("m", "c").alias("b"))
+
+
+def shingle_sets(narrow: DataFrame, pairs: DataFrame, crowd: DataFrame, shingle: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(dig, hashes): the sorted distinct shingle hashes of each text in ``pairs`` and ``crowd``, eight bytes each."""
     from .simhash import shingle_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +158,7 @@ def shingle_sets(narrow: DataFrame, pairs: DataFrame, shingle: int, broadcast_id
             found = [shingle_hashes(x, shingle) for x in as_bytes(b.column("text"))]
             yield pa.record_batch([pa.array(map(digest, found), pa.int64()), pa.array([np.unique(x).tobytes() for x in found], pa.binary())], ["dig", "hashes"])
 
-    ends = materialize(pairs.select(F.explode(F.array("a.id", "b.id")).alias("id")).distinct(), "alike-ends")
+    ends = materialize(pairs.select(F.explode(F.array("a.id", "b.id")).alias("id")).union(crowd.select("id")).distinct(), "alike-ends")
     few = ends.count() <= broadcast_ids
     sets = narrow.join(F.broadcast(ends) if few else ends, "id", "left_semi").mapInArrow(run, "dig long, hashes binary")
     return materialize(sets.groupBy("dig").agg(F.first("hashes").alias("hashes")), "alike-sets")
@@ -117,12 +186,25 @@ def similar_links(narrow: DataFrame, printed: DataFrame, near: DataFrame, shingl
     """(a, b): links between fingerprints of ``printed`` that, with the links ``near``, join texts of the given similarity into components."""
     from .simhash import components
 
-    met = candidates(printed, similarity)
-    sets = shingle_sets(narrow, met, shingle, broadcast_ids)
-    best = materialize(met.groupBy("b").agg(F.max(F.struct("shared", "a"))["a"].alias("a")).select("a", "b"), "alike-best")
-    links = verified(best, sets, similarity)
+    met, crowd = candidates(printed, similarity)
+    sets = shingle_sets(narrow, met, crowd, shingle, broadcast_ids)
+
+    def first_of(pairs: DataFrame, by: Column) -> DataFrame:
+        return materialize(pairs.groupBy("b").agg(F.max(F.struct(by.alias("by"), "a"))["a"].alias("a")).select("a", "b"), "alike-best")
+
+    def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        labels = materialize(components(near.union(links)), "alike-components")
+        of = lambda end: labels.select(F.col("node").alias(f"{end}_node"), F.col("label").alias(f"{end}_label"))
+        rest = pairs.join(of("a"), F.col("a.fp") == F.col("a_node"), "left").join(of("b"), F.col("b.fp") == F.col("b_node"), "left")
+        return materialize(rest.where(F.coalesce("a_label", "a.fp") != F.coalesce("b_label", "b.fp")).select("a", "b"), "alike-rest")
+
+    links = verified(first_of(met, F.col("shared")), sets, similarity)
+    links = links.union(verified(apart(met, links), sets, similarity))
+    if crowd.isEmpty():
+        return links
     labels = materialize(components(near.union(links)), "alike-components")
-    of = lambda end: labels.select(F.col("node").alias(f"{end}_node"), F.col("label").alias(f"{end}_label"))
-    rest = met.join(of("a"), F.col("a.fp") == F.col("a_node"), "left").join(of("b"), F.col("b.fp") == F.col("b_node"), "left")
-    rest = rest.where(F.coalesce("a_label", "a.fp") != F.coalesce("b_label", "b.fp")).select("a", "b")
-    return links.union(verified(materialize(rest, "alike-rest"), sets, similarity))
+    named = crowd.join(labels, F.col("fp") == F.col("node"), "left").select("id", "dig", "fp", "n", F.coalesce("label", "fp").alias("label"))
+    more = crowd_pairs(materialize(named, "alike-crowd"), sets, similarity)
+    more = materialize(more, "alike-more")
+    links = links.union(verified(first_of(more, F.lit(0)), sets, similarity))
+    return links.union(verified(apart(more, links), sets, similarity))
