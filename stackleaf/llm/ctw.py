@@ -6,10 +6,11 @@ estimate against its children's: P_w = (P_kt + product of the children's P_w) /
 mixes the estimates along the path with these weights; the code length of a text is the sum over its bytes and an end symbol (0xFF, never in
 UTF-8, which also stands for the bytes before a text). A context that training never saw goes on with the estimate of its suffix.
 
-The counts come from all training texts: every task sums its byte n-grams, Spark sums the tasks'. The model keeps the nodes that saw at
-least 1 / ``CELLS`` of all training bytes, with all their counts: a byte passes eight nodes a depth, so there are at most 8 ``CELLS`` nodes a depth
-whatever the input, which bounds what the driver and the tasks hold. What a node's kept children don't show of its counts enters its
-weight as one more child.
+The counts come from all training texts: every task sums its byte n-grams, Spark sums the tasks'. The model is the whole tree, every node
+that training saw, so it grows with the input; no one holds it. Nodes of ``LOW`` bytes or more are built and weighed in shards by the last
+``LOW`` bytes of their context, which also work out what they say of each n-gram that occurs in any text; the shards' sums weigh the shorter contexts
+(at most 255 * 256^(LOW - 1) nodes), which finish each n-gram's logarithm. Of these the ``CELLS`` commonest travel with the tasks; the
+others are joined by their key, as rare tokens are.
 
 Base: tokens are counted over all training texts. Those that hold at least 1 / ``TOKENS`` of all tokens (at most TOKENS of them) travel with
 the tasks; the others are joined by their hash (64 bits), with sums a row and token first.
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize, pieces
 
-DEPTH, CELLS, TOKENS = 5, 1 << 20, 1 << 17
+DEPTH, LOW, CELLS, TOKENS = 5, 3, 1 << 20, 1 << 17
+#: N-grams that a task takes together, in whole shards.
+TOGETHER = 200_000
 END = xxhash.xxh64_intdigest(b" end")  # words hold no space
 
 
@@ -91,72 +94,63 @@ class Level:
         return np.where(self.keys[at] == keys, at, -1)
 
 
+def nodes_of(codes: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted keys of the nodes of a depth, their zeros and ones, from codes of at least this depth."""
+    codes, n = summed([codes & np.uint64(2 ** (8 * depth + 8) - 1)], [n])
+    keys, ones = [], []
+    for b in range(8):
+        keys.append((codes >> np.uint64(8) << np.uint64(8)) | (np.uint64(1) << np.uint64(b)) | ((codes & np.uint64(255)) >> np.uint64(8 - b)))
+        ones.append(np.where((codes >> np.uint64(7 - b)) & np.uint64(1), n, 0))
+    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+    one, all_ = (np.bincount(back, x, minlength=len(distinct)).astype(np.float64) for x in (np.concatenate(ones), np.tile(n, 8)))
+    return distinct, all_ - one, one
+
+
 class ContextTree:
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], known: np.ndarray):
-        """nodes: for each depth the sorted keys, their zeros and ones; known: sorted codes whose logarithms are worked out at once."""
-        self.depth = len(nodes) - 1
-        self.levels: list[Level] = []
-        below: tuple | None = None
-        for d in range(self.depth, -1, -1):
-            keys, zeros, ones = nodes[d]
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], low: int = 0, below: tuple | None = None):
+        """nodes: for each depth from ``low`` the sorted keys, their zeros and ones; below: keys, zeros, ones and totals (ln P_w) of the next
+        depth's nodes, where these are elsewhere. ``total`` has the like of the least depth."""
+        self.levels: list[tuple[int, Level]] = []
+        for d in range(low + len(nodes) - 1, low - 1, -1):
+            keys, zeros, ones = nodes[d - low]
             own = log_kt(zeros, ones)
             if below is None:
                 total, weight = own, np.ones(len(keys))
             else:
-                child_keys, child_zeros, child_ones, child_total = below
-                # A child saw no more than its node, so the node of a kept child is kept.
-                at = np.searchsorted(keys, child_keys & np.uint64(2 ** (8 * d + 8) - 1))
-                add = lambda x: np.bincount(at, x, minlength=len(keys)) if len(keys) else np.zeros(0)  # noqa: E731, B023
-                rest = log_kt(np.maximum(zeros - add(child_zeros), 0), np.maximum(ones - add(child_ones), 0))
-                total = np.logaddexp(own, add(child_total) + rest) - math.log(2)
+                at = np.searchsorted(keys, below[0] & np.uint64(2 ** (8 * d + 8) - 1))
+                total = np.logaddexp(own, np.bincount(at, below[3], minlength=len(keys)) if len(keys) else own) - math.log(2)
                 weight = np.exp(own - math.log(2) - total)
-            self.levels.insert(0, Level(keys, (ones + 0.5) / (zeros + ones + 1.0), weight))
+            self.levels.insert(0, (d, Level(keys, (ones + 0.5) / (zeros + ones + 1.0), weight)))
             below = (keys, zeros, ones, total)
-        self.known, self.known_log = known, self.slow(known)
+        self.total = below
 
-    def ones(self, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        """The probability of a one after each context (``depth`` bytes) and bits so far."""
+    def ones(self, context: np.ndarray, prefix: np.ndarray, deeper: np.ndarray | None = None) -> np.ndarray:
+        """The probability of a one after each context and bits so far; deeper: what longer contexts say. NaN: no such node."""
         live, path = np.arange(len(context)), []
-        for d, level in enumerate(self.levels):
+        for d, level in self.levels:
             at = level.find(((context[live] & np.uint64(2 ** (8 * d) - 1)) << np.uint64(8)) | prefix[live])
             live, at = live[at >= 0], at[at >= 0]
             if not len(live):
                 break
             path.append((live, at, level))
-        q = np.full(len(context), 0.5)
-        mixed = np.zeros(len(context), dtype=bool)
+        q = np.full(len(context), np.nan) if deeper is None else deeper.copy()
         for live, at, level in reversed(path):
-            kt = level.estimate[at]
-            w = np.where(mixed[live], level.weight[at], 1.0)
-            q[live] = w * kt + (1 - w) * q[live]
-            mixed[live] = True
+            w = np.where(np.isnan(q[live]), 1.0, level.weight[at])
+            q[live] = w * level.estimate[at] + (1 - w) * np.nan_to_num(q[live])
         return q
 
-    def slow(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's byte after its context."""
+    def bits(self, codes: np.ndarray, deeper: np.ndarray | None = None) -> np.ndarray:
+        """(codes, 8): ``ones`` at each bit of each code's byte."""
         context, byte = codes >> np.uint64(8), codes & np.uint64(255)
-        out = np.zeros(len(codes))
-        for b in range(8):
-            prefix = (np.uint64(1) << np.uint64(b)) | (byte >> np.uint64(8 - b))
-            q = self.ones(context, prefix)
-            out += np.log10(np.where((byte >> np.uint64(7 - b)) & np.uint64(1), q, 1 - q))
-        return out
-
-    def logs(self, codes: np.ndarray, most: int = 1 << 21) -> np.ndarray:
-        """The same for many codes. Those met before are ready; new ones are worked out once and kept, up to ``most`` in all."""
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-            out, new = self.known_log[at], np.flatnonzero(self.known[at] != codes)
-        else:
-            out, new = np.zeros(len(codes)), np.arange(len(codes))
-        if len(new):
-            distinct, back = np.unique(codes[new], return_inverse=True)
-            logs = self.slow(distinct)
-            out[new] = logs[back]
-            if len(self.known) + len(distinct) <= most:
-                to = np.searchsorted(self.known, distinct)
-                self.known, self.known_log = np.insert(self.known, to, distinct), np.insert(self.known_log, to, logs)
-        return out
+        found = [self.ones(context, (np.uint64(1) << np.uint64(b)) | (byte >> np.uint64(8 - b)), None if deeper is None else deeper[:, b]) for b in range(8)]
+        return np.stack(found, axis=1)
+
+    def slow(self, codes: np.ndarray, deeper: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the probability of each code's byte after its context."""
+        q = self.bits(codes, deeper)
+        q = np.where(np.isnan(q), 0.5, q)
+        bit = (codes[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)
+        return np.log10(np.where(bit, q, 1 - q)).sum(axis=1)
 
 
 def tokens(text: bytes) -> list[int]:
@@ -165,7 +159,7 @@ def tokens(text: bytes) -> list[int]:
 
 
 def _counted(depth: int):
-    """(kind, key, n): kind 0 byte n-grams, kind 1 tokens; summed over the task, flushed when many."""
+    """(kind, key, n): kind 0 byte n-grams (those of held-out texts count 0), kind 1 tokens; summed over the task, flushed when many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[[], [], 0], [[], [], 0]]
@@ -179,9 +173,13 @@ def _counted(depth: int):
 
         for b in pieces(batches, 256):
             texts = [t.lower() for t in as_bytes(b.column("text"))]
-            found = (grams(texts, depth)[0], np.array([h for t in texts for h in tokens(t)], dtype=np.uint64))
-            for kind, codes in enumerate(found):
+            out = b.column("held_out").to_pylist()
+            held_out, texts = [t for t, x in zip(texts, out, strict=True) if x], [t for t, x in zip(texts, out, strict=True) if not x]
+            found = [(0, t, one) for t, one in ((held_out, 0), (texts, 1)) if t]
+            found = [(kind, grams(t, depth)[0], one) for kind, t, one in found] + [(1, np.array([h for t in texts for h in tokens(t)], dtype=np.uint64), 1)]
+            for kind, codes, one in found:
                 k, n = np.unique(codes, return_counts=True)
+                n = n * one
                 held[kind][0].append(k)
                 held[kind][1].append(n)
                 held[kind][2] += len(k)
@@ -196,31 +194,134 @@ def _counted(depth: int):
     return run
 
 
-def learn(texts: DataFrame, depth: int = DEPTH, cells: int = CELLS) -> tuple[ContextTree, DataFrame]:
-    """The tree over the bytes of ``texts`` (text), and the written counts (kind, key, n)."""
-    counts = materialize(texts.mapInArrow(_counted(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
-    grams_ = counts.where("kind = 0")
-    total = grams_.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // cells))
-    got = []
-    for d in range(depth + 1):
-        # A shorter context's cells are sums of the longest ones'.
-        code = F.col("key").bitwiseAND(F.lit(2 ** (8 * d + 8) - 1)).alias("code")
-        summed_ = grams_.select(code, "n").groupBy("code").agg(F.sum("n").alias("n"))
-        bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b")
-        key = F.expr("shiftleft(shiftrightunsigned(code, 8), 8) | shiftleft(1L, b) | shiftright(code & 255, 8 - b)").alias("key")
-        bit = F.expr("shiftright(code & 255, 7 - b) & 1")
-        nodes = summed_.select("code", "n", bits).select(key, (F.col("n") * bit).alias("ones"), (F.col("n") * (1 - bit)).alias("zeros"))
-        rows = nodes.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).where(F.col("zeros") + F.col("ones") >= least).toArrow()
-        keys, zeros, ones = rows.column("key").to_numpy().view(np.uint64), *(rows.column(c).to_numpy().astype(np.float64) for c in ("zeros", "ones"))
-        order = np.argsort(keys)
-        got.append((keys[order], zeros[order], ones[order]))
-    known = np.sort(grams_.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy().view(np.uint64))
-    return ContextTree(got, known), counts
-
-
-def _scored(tree, common, depth: int):
-    """(row, id, n_tokens, known, base, score, rare hashes): the base without the rare tokens, which are joined later."""
+def count(texts: DataFrame, depth: int) -> DataFrame:
+    """The written counts (kind, key, n) of texts (held_out, text)."""
+    return materialize(texts.mapInArrow(_counted(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
+
+
+def learn(texts: DataFrame, depth: int = DEPTH) -> tuple[ContextTree, DataFrame]:
+    """The whole tree over the bytes of ``texts`` (text) in the driver's memory, so of a small table; and the written counts (kind, key, n)."""
+    counts = count(texts.select(F.lit(False).alias("held_out"), "text"), depth)
+    rows = counts.where("kind = 0").toArrow()
+    codes, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    return ContextTree([nodes_of(codes, n, d) for d in range(depth + 1)] if len(codes) else []), counts
+
+
+def _sharded(depth: int, low: int):
+    """(kind, key, n, q, zeros, ones, total) of n-grams (shard, key, n) sorted by shard. Kind 0: each n-gram with what contexts of ``low`` bytes or more
+    say of its bits; kind 1: sums of the nodes of ``low`` bytes by the node of one byte less."""
+
+    def made(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        seen = n > 0
+        tree = ContextTree([nodes_of(codes[seen], n[seen], d) for d in range(low, depth + 1)] if seen.any() else [], low)
+        for i in range(0, len(codes), 20_000):
+            c = codes[i : i + 20_000]
+            none = pa.nulls(len(c), pa.float64())
+            q = tree.bits(c)
+            yield pa.record_batch([pa.array(np.zeros(len(c), np.int32)), pa.array(c.view(np.int64)), pa.array(n[i : i + 20_000]), pa.array([x.tobytes() for x in q], pa.binary()), none, none, none], NAMES)
+        if low and tree.total is not None:
+            keys, *values = tree.total
+            up, back = np.unique(keys & np.uint64(2 ** (8 * low) - 1), return_inverse=True)
+            sums = [pa.array(np.bincount(back, v, minlength=len(up))) for v in values]
+            yield pa.record_batch([pa.array(np.ones(len(up), np.int32)), pa.array(up.view(np.int64)), pa.nulls(len(up), pa.int64()), pa.nulls(len(up), pa.binary()), *sums], NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in ("shard", "key", "n")])
+            size += b.num_rows
+            if size >= TOGETHER:
+                shard, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+                if cut:
+                    yield from made(key[:cut].view(np.uint64), n[:cut])
+                held, size = [[shard[cut:], key[cut:], n[cut:]]], len(shard) - cut if cut else 0
+        if held:
+            _, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(key):
+                yield from made(key.view(np.uint64), n)
+
+    return run
+
+
+NAMES = ["kind", "key", "n", "q", "zeros", "ones", "total"]
+
+
+def code_logs(grams_: DataFrame, depth: int) -> DataFrame:
+    """(key, n, log): log10 of the probability that the whole tree over n-grams (key, n) gives each n-gram's last byte."""
+    low = min(LOW, depth)
+    shard = F.expr(f"shiftrightunsigned(key, 8) & {2 ** (8 * low) - 1}L").alias("shard")
+    dealt = grams_.select(shard, "key", "n").repartition("shard").sortWithinPartitions("shard")
+    parts = materialize(dealt.mapInArrow(_sharded(depth, low), "kind int, key long, n long, q binary, zeros double, ones double, total double"), "ctw-shards")
+    got = parts.where("kind = 1").groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("total").alias("total")).orderBy("key").toArrow()
+    keys, zeros, ones, total = got.column("key").to_numpy().view(np.uint64), *(got.column(c).to_numpy() for c in NAMES[4:])
+    nodes = []
+    for d in range(low):
+        up, back = np.unique(keys & np.uint64(2 ** (8 * d + 8) - 1), return_inverse=True)
+        nodes.append((up, *(np.bincount(back, x, minlength=len(up)).astype(np.float64) for x in (zeros, ones))))
+    top = grams_.sparkSession.sparkContext.broadcast(ContextTree(nodes, 0, (keys, zeros, ones, total)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = np.frombuffer(b"".join(b.column("q").to_pylist()), dtype=np.float64).reshape(-1, 8)
+                yield pa.record_batch([b.column("key"), b.column("n"), pa.array(top.value.slow(b.column("key").to_numpy().view(np.uint64), q))], ["key", "n", "log"])
+
+    return materialize(parts.where("kind = 0").select("key", "n", "q").mapInArrow(run, "key long, n long, log double"), "ctw-logs")
+
+
+def commonest(logs: DataFrame, most: int) -> int:
+    """How often an n-gram must occur so that at most ``most`` do."""
+    sizes = logs.groupBy(F.floor(F.log2(F.col("n") + 1)).alias("e")).agg(F.count("*").alias("c")).orderBy(F.col("e").desc()).collect()
+    held, least = 0, 1 << 62
+    for r in sizes:
+        held += r.c
+        if held > most:
+            break
+        least = (1 << r.e) - 1
+    return least
+
+
+class Hashed:
+    """Distinct keys and their values, found by hash with linear steps; at most half of the places are taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        # No n-gram has all bits set: codes of 48 bits.
+        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, dtype=np.uint64)
+        self.values = np.zeros(1 << self.bits)
+        at, left = self.place(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] == np.iinfo(np.uint64).max
+            spots, first = np.unique(at[left[free]], return_index=True)
+            put = left[free][first]
+            self.keys[spots], self.values[spots] = keys[put], values[put]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its value (0 if not)."""
+        at = self.place(keys)
+        got = self.keys[at]
+        hit = got == keys
+        out = np.where(hit, self.values[at], 0.0)
+        left = np.flatnonzero(~hit & (got != np.iinfo(np.uint64).max))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            got, want = self.keys[at], keys[left]
+            same = got == want
+            hit[left[same]], out[left[same]] = True, self.values[at[same]]
+            go = ~same & (got != np.iinfo(np.uint64).max)
+            left, at = left[go], at[go]
+        return hit, out
+
+
+def _scored(often, common, depth: int):
+    """(row, id, n_tokens, known, base, score, rare hashes, rare n-grams): base and score without the rare ones, which are joined later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs = common.value
@@ -228,7 +329,10 @@ def _scored(tree, common, depth: int):
         for b in pieces(batches, 256):
             texts = [t.lower() for t in as_bytes(b.column("text"))]
             codes, starts = grams(texts, depth)
-            score = np.add.reduceat(tree.value.logs(codes), starts)
+            hit, logs_of = often.value.find(codes)
+            score = np.add.reduceat(logs_of, starts)
+            ends = np.cumsum(np.add.reduceat((~hit).astype(np.int64), starts))
+            rare_codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(codes[~hit].view(np.int64)))
             lists = [tokens(t) for t in texts]
             sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
             flat = np.array([h for x in lists for h in x], dtype=np.uint64)
@@ -241,7 +345,7 @@ def _scored(tree, common, depth: int):
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat[~hit].view(np.int64)))
             rows = (np.int64(part) << 33) + np.arange(row, row + len(lists))
             row += len(lists)
-            yield pa.record_batch([pa.array(rows), b.column("id"), b.column("held_out"), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(score), rare], ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+            yield pa.record_batch([pa.array(rows), b.column("id"), b.column("held_out"), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(score), rare, rare_codes], ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_codes"])
 
     return run
 
@@ -251,7 +355,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)) == out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    tree, counts = learn(rows.where(~F.col("held_out")).select("text"), depth, cells)
+    counts = count(rows.select("held_out", "text"), depth)
+    codes = code_logs(counts.where("kind = 0").select("key", "n"), depth)
+    least = commonest(codes, cells)
+    found = codes.where(F.col("n") >= least).select("key", "log").toArrow()
+    code_keys = found.column("key").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(Hashed(code_keys, found.column("log").to_numpy()))
     words = counts.where("kind = 1").select("key", "n")
     n, v = words.agg(F.sum("n"), F.count("*")).first()
     n = n or 0
@@ -260,13 +369,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], np.log10(top.column("n").to_numpy()[order] + 1.0)))
-    schema = "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
-    scored = materialize(rows.mapInArrow(_scored(spark.sparkContext.broadcast(tree), common, depth), schema), "ctw-scores")
+    schema = "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_codes array<long>"
+    scored = materialize(rows.mapInArrow(_scored(sent, common, depth), schema), "ctw-scores")
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("tf"))
     met = rare.join(words.where(F.col("n") < often), "key").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
-    full = scored.drop("rare").join(met, "row", "left")
+    rare_codes = scored.select("row", F.explode("rare_codes").alias("key")).groupBy("row", "key").agg(F.count("*").alias("tf"))
+    rest = rare_codes.join(codes.where(F.col("n") < least).select("key", "log"), "key").groupBy("row").agg(F.sum(F.col("tf") * F.col("log")).alias("rest"))
+    full = scored.drop("rare", "rare_codes").join(met, "row", "left").join(rest, "row", "left")
     per_token = math.log10(n + v + 1)
     return full.select(
         F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
