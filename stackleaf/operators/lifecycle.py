@@ -15,10 +15,15 @@ RETRY = (300, 1_800, 7_200)
 LEASE, ATTEMPTS = 300, 3
 
 
-def cold_flags(bookmarks: DataFrame, cutoff: int) -> DataFrame:
-    """``unopened``, ``old``, ``dead`` and ``cold`` (all three) of bookmarks (open_count, date_added, verdict)."""
+def cold_flags(bookmarks: DataFrame, cutoff: int, supersession: DataFrame | None = None) -> DataFrame:
+    """``unopened``, ``old``, ``dead`` and ``cold`` of bookmarks (bookmark_id, open_count, date_added, verdict). With the edges ``supersession`` (src, dst; older
+    to newer) also ``superseded``, and cold is unopened, old and either dead or superseded; without them unopened, old and dead."""
     flags = bookmarks.withColumns({"unopened": F.col("open_count") == 0, "old": F.coalesce(F.col("date_added") < cutoff, F.lit(False)), "dead": F.coalesce(F.col("verdict").isin(*DEAD), F.lit(False))})
-    return flags.withColumn("cold", F.col("unopened") & F.col("old") & F.col("dead"))
+    if supersession is None:
+        return flags.withColumn("cold", F.col("unopened") & F.col("old") & F.col("dead"))
+    older = supersession.select(F.col("src").alias("bookmark_id")).distinct().withColumn("superseded", F.lit(True))
+    flags = flags.join(older, "bookmark_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
+    return flags.withColumn("cold", F.col("unopened") & F.col("old") & (F.col("dead") | F.col("superseded")))
 
 
 def decay(scored: DataFrame, factor: float = 0.5, rescue: float = 0.02) -> DataFrame:

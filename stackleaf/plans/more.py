@@ -124,6 +124,11 @@ def q_bootstrap(spark, d):
     return E.bootstrap_ci(placed, 200)
 
 
+def q_cold_whole(spark, d):
+    flags = Y.cold_flags(bookmarks(spark, d), NOW - 20 * 86400, q_supersession(spark, d))
+    return flags.where("cold").select("bookmark_id", "verdict", "superseded")
+
+
 def q_bonus(spark, d):
     depth = F.col("n_nationkey") * 10
     return table(spark, d, "nation").select(depth.alias("depth"), R.guarantee_bonus(depth, (1.0, 1.0, 1.0, 0.7)).alias("bonus"))
@@ -166,6 +171,7 @@ def queries():
         "understand_labels": q_understand,
         "cold_set": q_cold,
         "cold_census": q_census,
+        "cold_set_superseded": q_cold_whole,
         "decay_rerank": q_decay,
         "backoff_schedule": q_backoff,
         "queue_lease": q_queue,
@@ -228,7 +234,7 @@ UNDERSTAND = f"""t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS t, lowe
 
 
 def oracle_sql():
-    return {
+    sql = {
         "url_normalize": f"WITH {ADDRESSES} SELECT page_id, url_norm, sha256(url_norm) AS url_hash, kept_fragment, indexable FROM addresses",
         "url_dedup_groups": f"WITH {ADDRESSES}, t AS (SELECT page_id, sha256(url_norm) AS url_hash, {TITLE} AS title FROM addresses) SELECT url_hash, count(*) AS n, min(page_id) AS first, first(title ORDER BY length(title) DESC, page_id) AS title FROM t GROUP BY url_hash",
         "tracking_params": f"WITH {ADDRESSES}, n AS (SELECT lower(unnest(list_transform(pairs, lambda x: x.k))) AS name FROM split) SELECT name, count(*) AS n FROM n WHERE name IN {listed(urls.TRACKING)} OR regexp_matches(name, '{urls.TRACKING_PREFIX}') GROUP BY name",
@@ -284,3 +290,7 @@ def oracle_sql():
             SELECT count(*) FILTER (a.url_hash IS NOT NULL AND b.url_hash IS NOT NULL) AS common, count(*) FILTER (b.url_hash IS NULL) AS only_first, count(*) FILTER (a.url_hash IS NULL) AS only_second,
                 count(*) FILTER (a.url_hash IS NOT NULL AND b.url_hash IS NOT NULL AND a.title IS NOT DISTINCT FROM b.title) AS same_title FROM a FULL JOIN b ON a.url_hash = b.url_hash""",
     }
+    # Unopened and old, and dead or with an edge of the supersession query.
+    sql["cold_set_superseded"] = f"""WITH {BOOKMARKS}, newer AS ({sql["supersession_edges"]}), f AS (SELECT flags.*, bookmark_id IN (SELECT src FROM newer) AS superseded FROM flags)
+        SELECT bookmark_id, verdict, superseded FROM f WHERE unopened AND old AND (dead OR superseded)"""
+    return sql
