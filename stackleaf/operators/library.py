@@ -37,6 +37,19 @@ def expand(seeds: DataFrame, edges: DataFrame, factor: float = 0.5, per_seed: in
     return best.select("doc_id", F.round(-F.col("b.s"), 9).alias("score"), F.col("b.src").alias("via"))
 
 
+def bursts(saves: DataFrame, seconds: int = 600, more: int = 3) -> DataFrame:
+    """(id, n): the saves (id, ts) that a window of ``seconds`` from a save's time covers, if it holds over ``more`` saves; n is the most of these windows.
+    Windows reach into the next of fixed bins, so each bin's seconds go to the one before for counts, and to the next for marks."""
+    ranged = lambda lo, hi: Window.partitionBy("bin").orderBy("ts").rangeBetween(lo, hi)
+    own = F.floor(F.col("ts") / seconds)
+    per = saves.where("ts is not null").groupBy("ts").agg(F.count("*").alias("c"))
+    both = per.withColumn("bin", F.explode(F.array(own, own - 1)))
+    dense = both.withColumn("n", F.sum("c").over(ranged(0, seconds - 1))).where((F.col("bin") == own) & (F.col("n") > more)).select("ts", "n")
+    ahead = per.join(dense, "ts", "left").withColumn("bin", F.explode(F.array(own, own + 1)))
+    marked = ahead.withColumn("n", F.max("n").over(ranged(1 - seconds, 0))).where((F.col("bin") == own) & F.col("n").isNotNull())
+    return saves.join(marked.select("ts", "n"), "ts").select("id", "n")
+
+
 def latest(log: DataFrame) -> DataFrame:
     """The last row of each bookmark, by time and then id."""
     return log.groupBy("bookmark_id").agg(F.max_by(F.struct(*log.columns), F.struct("checked_at", "id")).alias("x")).select("x.*")

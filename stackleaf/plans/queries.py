@@ -141,6 +141,7 @@ def queries():
         "domain_edges": q_domain_edges,
         "expand_one_hop": q_expand,
         "import_bursts": q_bursts,
+        "import_burst_windows": lambda s, d: L.bursts(saves(s, d)),
         "anchor_window": q_anchor_window,
         "health_latest_summary": lambda s, d: L.latest(health(s, d)).groupBy("verdict").agg(F.count("*").alias("n")),
         "failure_runs": lambda s, d: L.failure_runs(health(s, d)),
@@ -213,6 +214,8 @@ def oracle_sql():
             p AS (SELECT dst, src, 0.5::DOUBLE * score * weight AS s FROM o JOIN seeds ON o.src = seeds.id WHERE r <= 20 AND dst NOT IN (SELECT id FROM seeds)),
             b AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY s DESC, src) AS k FROM p) SELECT dst AS doc_id, round(s, 9) AS score, src AS via FROM b WHERE k = 1""",
         "import_bursts": f"WITH {SAVES} SELECT id, n FROM (SELECT id, count(*) OVER (PARTITION BY ts // 600) AS n FROM saves) WHERE n > 3",
+        "import_burst_windows": f"""WITH {SAVES}, w AS (SELECT *, count(*) OVER (ORDER BY ts RANGE BETWEEN CURRENT ROW AND 599 FOLLOWING) AS c FROM saves),
+            m AS (SELECT id, max(c) FILTER (c > 3) OVER (ORDER BY ts RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS n FROM w) SELECT id, n FROM m WHERE n IS NOT NULL""",
         "anchor_window": f"WITH {SAVES} SELECT user_id, floor(quantile_cont(ts, 0.1))::BIGINT AS lo, floor(quantile_cont(ts, 0.9))::BIGINT AS hi FROM saves GROUP BY user_id HAVING count(*) >= 2",
         "health_latest_summary": f"WITH {HEALTH}, l AS (SELECT *, row_number() OVER (PARTITION BY bookmark_id ORDER BY checked_at DESC, id DESC) AS r FROM log) SELECT verdict, count(*) AS n FROM l WHERE r = 1 GROUP BY verdict",
         "failure_runs": f"""WITH {HEALTH}, g AS (SELECT *, sum((verdict NOT IN ('gone', 'unreachable'))::INTEGER) OVER (PARTITION BY bookmark_id ORDER BY checked_at DESC, id DESC) AS good FROM log)
