@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ctw, piece_lattice, quality, secrets
@@ -22,7 +22,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return spans.select("doc_id", *counts, F.sha2(secrets.described(base), 256).alias("base_sha256"), secrets.described(F.col("found")).alias("spans"))
 
 

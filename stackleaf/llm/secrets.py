@@ -1,12 +1,13 @@
 """Secret scans with DataFrame functions only: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order models, one of random strings (keys, digests) and one of ordinary identifiers, are counted from labelled
-samples. A token is a run of [A-Za-z0-9+/_=-] of ``least`` characters or more; it is a secret if the log-likelihood ratio, summed over
-its characters, reaches ``threshold``. The ratios are whole thousandths of a nat, in an array of 128 x 128 (previous and next
+samples. A token is a run of [A-Za-z0-9+/_=-] of ``least`` characters or more, or such a run of [A-Za-z0-9] within one that isn't random as a
+whole (a key behind a path); it is a secret if the log-likelihood ratio, summed over its characters, reaches ``threshold``. The ratios are whole thousandths of a nat, in an array of 128 x 128 (previous and next
 character; its size is fixed, so it travels as a literal), and sums of whole numbers don't depend on the order.
 
-Spans are found without positions from the regex engine: the pieces between matches and the matches have lengths that add up.
-Everything happens within a document's row: no shuffle, so a hot source or a common text costs nothing more.
+Spans are found without positions from the regex engine: the lengths of the matches and of the text between them are written, a row a
+document, and added up by windows over a document's matches, in time that grows with their number. Only these numbers are shuffled, never texts,
+and a group holds one document's matches, so a hot source or a common text costs nothing more.
 
 Defined results: a null text is empty; a text without spans has "" and its hash; tokens of the model that overlap a base span are left out
 (base spans stay); ids are passed on as they are, null or repeated; an empty table gives no rows; other columns are not read.
@@ -14,8 +15,13 @@ Defined results: a null text is empty; a text without spans has "" and its hash;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import materialize
 
 #: The contract's patterns, in the order of their kinds.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -41,7 +47,9 @@ WORDS = (
     "the and ing ion ent her tha nth int ere ter est ers ati hat ate all eth hes ver his oft ith fth sth oth res ont"
 )
 
-TOKEN_CHARS = "A-Za-z0-9+/_=-"
+TOKEN_CHARS, PLAIN_CHARS = "A-Za-z0-9+/_=-", "A-Za-z0-9"
+#: Kinds of the models' spans: whole runs, and the runs of letters and digits within those that aren't random as a whole.
+RUN, PIECE = 3, 4
 
 
 def labelled_samples(spark: SparkSession, rows: int = 20_000) -> DataFrame:
@@ -92,18 +100,20 @@ def ratios(samples: DataFrame, smoothing: float = 0.5) -> str:
     return listed.select(F.array_join(F.transform("m", lambda e: e["x"].cast("string")), ",")).first()[0]
 
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """[(start, kind, end, match, value)] of a pattern's matches, in order; value is group 2 if the pattern has one."""
+def _parts(text: Column, pattern: str, kind: int, keep: Callable[[Column, Column], Column], group: int = 0) -> Column:
+    """[(kind, pos, gap, size, keep)] of a pattern's matches in order: ``gap`` characters before a match of ``size``. ``keep`` gets the match
+    and its ``group``; positions are sums over these rows."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    before = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else found
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("b"), found.alias("m"), value.alias("v"))
+
+    def part(x: Column, k: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), k.alias("pos"), F.length(x["b"]).alias("gap"), F.length(x["m"]).alias("size"), keep(x["m"], x["v"]).alias("keep"))
+
+    return F.when(text.rlike(pattern), F.transform(both, part)).otherwise(F.array().cast(PARTS))
 
-    def span(m: Column, k: Column) -> Column:
-        start = before(between, k + 1) + before(found, k)
-        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), F.get(value, k).alias("value"))
 
-    return F.when(text.rlike(pattern), F.transform(found, span)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+PARTS = "array<struct<kind:int,pos:int,gap:int,size:int,keep:boolean>>"
 
 
 def _ratio(token: Column, model: Column) -> Column:
@@ -116,32 +126,26 @@ def _ratio(token: Column, model: Column) -> Column:
 def scan(docs: DataFrame, samples: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 20, threshold: float = 14.0) -> DataFrame:
     """(doc_id, found) for every row: ``found`` is [(start, kind, end)] in code points, by start and kind (0-3 as in ``KINDS``)."""
     model = F.split(F.lit(ratios(samples if samples is not None else labelled_samples(docs.sparkSession))), ",").cast("array<int>")
-    text = F.col("text")
+    text, bound = F.col("text"), int(threshold * 1000)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    assign = F.filter(_spans(text, ASSIGN, 0), lambda s: F.length(s["value"]) >= 8)
-    access = F.filter(_spans(text, ACCESS, 1), lambda s: s["end"] - s["start"] >= 16)
-    base = F.concat(assign, access, _spans(text, HEX, 2))
-    candidate = f"(?<![{TOKEN_CHARS}])[{TOKEN_CHARS}]{{{least},}}"
-    strip = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    found = narrow.select("doc_id", "text", strip(base).alias("base"))
-    found = found.select("doc_id", "base", F.when(text.rlike(candidate), _tokens(text, candidate, model, int(threshold * 1000))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("more"))
-    more = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.select("doc_id", F.array_sort(F.concat("base", more)).alias("found"))
-
-
-def _tokens(text: Column, candidate: str, model: Column, threshold: int) -> Column:
-    """Spans of the tokens that the models call random; positions only for those."""
-    found = F.regexp_extract_all(text, F.lit(candidate), F.lit(0))
-    between = F.split(text, candidate, -1)
-    sizes = F.zip_with(F.transform(between, F.length), F.transform(found, F.length), lambda a, b: F.struct(F.coalesce(a, F.lit(0)).alias("a"), F.coalesce(b, F.lit(0)).alias("b")))
-    flags = F.transform(found, lambda t: _ratio(t, model) >= threshold)
-
-    def span(k: Column) -> Column:
-        start = F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda s, x: s + x["a"] + x["b"]) + F.get(sizes, k)["a"]
-        return F.struct(start.alias("start"), F.lit(3).alias("kind"), (start + F.get(sizes, k)["b"]).alias("end"))
-
-    hits = F.filter(F.transform(flags, lambda f, k: F.when(f, k)), lambda k: k.isNotNull())
-    return F.transform(hits, span)
+    random = lambda m, _: _ratio(m, model) >= bound
+    parts = F.concat(
+        _parts(text, ASSIGN, 0, lambda _, v: F.length(v) >= 8, 2), _parts(text, ACCESS, 1, lambda m, _: F.length(m) >= 16), _parts(text, HEX, 2, lambda *_: F.lit(True)),
+        _parts(text, f"(?<![{TOKEN_CHARS}])[{TOKEN_CHARS}]{{{least},}}", RUN, random), _parts(text, f"(?<![{PLAIN_CHARS}])[{PLAIN_CHARS}]{{{least},}}", PIECE, random),
+    )
+    rows = materialize(narrow.select(F.monotonically_increasing_id().alias("row"), "doc_id", parts.alias("parts")), "secret-parts")
+    placed = rows.where("exists(parts, x -> x.keep)").select("row", F.inline("parts"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("pos")).cast("int")
+    spans = placed.withColumn("end", end).where("keep").select("row", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
+    # Both ways as running values from one end: a frame up to the last row would be summed anew for each row.
+    before, after = (Window.partitionBy("row").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("start").asc(), F.col("start").desc()))
+    # A span of the models goes where one that comes before it in kind ends behind its start or starts before its end.
+    touches = lambda kind: (F.max(F.when(F.col("kind") < kind, F.col("end"))).over(before) > F.col("start")) | (F.min(F.when(F.col("kind") < kind, F.col("start"))).over(after) < F.col("end"))
+    judged = spans.withColumns({"run": F.coalesce(touches(RUN), F.lit(False)), "piece": F.coalesce(touches(PIECE), F.lit(False))})
+    kept = judged.where(~((F.col("kind") == RUN) & F.col("run")) & ~((F.col("kind") == PIECE) & F.col("piece")))
+    listed = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.least("kind", F.lit(RUN)).alias("kind"), "end"))).alias("found"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return rows.select("row", "doc_id").join(listed, "row", "left").select("doc_id", F.coalesce("found", none).alias("found"))
 
 
 def described(spans: Column) -> Column:
