@@ -57,8 +57,45 @@ def vocabulary(path: str = MODEL) -> list[tuple[int, bytes, float]]:
     return sorted(best.values())
 
 
+def double_array(children: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, check, slot): a trie's nodes as slots, the root 0; the child by byte c of the node in slot s is in slot base[s] + c if check there is s."""
+    size = 2 * len(children) + 4096
+    used = np.zeros(size + 512, dtype=bool)
+    used[0] = True
+    base_of, slot, begin = np.zeros(len(children), dtype=np.int64), np.zeros(len(children), dtype=np.int64), {}
+    order = sorted(range(len(children)), key=lambda k: -len(children[k]))
+    many = [k for k in order if len(children[k]) > 1]
+    for k in many:
+        c = np.array(sorted(children[k]))
+        at = begin.get(len(c), 0)
+        while True:
+            fit = np.flatnonzero(~used[np.arange(at, at + 2048)[:, None] + c].any(axis=1))
+            if len(fit):
+                break
+            at += 2048
+            if at + 4096 > len(used):
+                used = np.concatenate([used, np.zeros(len(used), dtype=bool)])
+        base_of[k] = begin[len(c)] = at + fit[0]
+        used[base_of[k] + c] = True
+    single = [k for k in order if len(children[k]) == 1]
+    if len(single) > np.count_nonzero(~used[256:]):
+        used = np.concatenate([used, np.zeros(len(single), dtype=bool)])
+    for k, free in zip(single, np.flatnonzero(~used[256:]) + 256, strict=False):
+        base_of[k] = free - next(iter(children[k]))
+    for k, edges in enumerate(children):
+        for c, to in edges.items():
+            slot[to] = base_of[k] + c
+    length = int(max(slot.max(), base_of.max())) + 257
+    base, check = np.zeros(length, dtype=np.int32), np.full(length, -1, dtype=np.int32)
+    base[slot] = base_of
+    for k, edges in enumerate(children):
+        for to in edges.values():
+            check[slot[to]] = slot[k]
+    return base, check, slot
+
+
 class Lattice:
-    """The pieces as a trie in arrays, and the pairs of bytes that pieces hold."""
+    """The pieces as a double-array trie, and the pairs of bytes that pieces hold. Built once, in the driver; a few megabytes, so it travels to the tasks."""
 
     def __init__(self, vocab: list[tuple[int, bytes, float]]):
         self.ids = np.array([i for i, _, _ in vocab], dtype=np.int32)
@@ -66,23 +103,20 @@ class Lattice:
         self.probability = np.array([p for *_, p in vocab], dtype=np.float64)
         self.joined = np.zeros((256, 256), dtype=bool)
         children: list[dict[int, int]] = [{}]
-        ends = [-1]
+        ends = {}
         for k, (_, b, _) in enumerate(vocab):
             at = 0
             for c in b:
                 if c not in children[at]:
                     children[at][c] = len(children)
                     children.append({})
-                    ends.append(-1)
                 at = children[at][c]
             ends[at] = k
             raw = np.frombuffer(b, dtype=np.uint8)
             self.joined[raw[:-1], raw[1:]] = True
-        self.next = np.zeros((len(children), 256), dtype=np.int32)  # 0: no such piece, as no edge leads to the root
-        for at, edges in enumerate(children):
-            for c, to in edges.items():
-                self.next[at, c] = to
-        self.ends = np.array(ends, dtype=np.int32)
+        self.base, self.check, slot = double_array(children)
+        self.ends = np.full(len(self.base), -1, dtype=np.int32)
+        self.ends[slot[list(ends)]] = list(ends.values())
 
     def chunks(self, text: bytes) -> list[bytes]:
         raw = np.frombuffer(text, dtype=np.uint8)
@@ -97,10 +131,10 @@ class Lattice:
         limit = np.repeat(starts[1:], sizes)
         found, at, state, length = [], np.arange(len(data)), np.zeros(len(data), dtype=np.int32), 0
         while len(at):
-            state = self.next[state, data[at + length]]
+            to = self.base[state] + data[at + length]
             length += 1
-            ok = state > 0
-            at, state = at[ok], state[ok]
+            ok = self.check[to] == state
+            at, state = at[ok], to[ok]
             piece = self.ends[state]
             end = np.flatnonzero(piece >= 0)
             found.append((at[end] + length - 1, piece[end]))
@@ -200,10 +234,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """(id, ids, n_bytes, decoded): each row's sampled pieces, the text's bytes, and the bytes that the pieces decode to."""
     spark: SparkSession = docs.sparkSession
     limit_batches(spark)
-    vocab = spark.sparkContext.broadcast(vocabulary(path))
+    shared = spark.sparkContext.broadcast(Lattice(vocabulary(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocab.value)
+        lattice = shared.value
         for b in pieces(batches, 128):
             texts = as_bytes(b.column("text"))
             ids = lattice.sample(texts, row_keys(b.column("id").to_pylist(), seed))
@@ -220,10 +254,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     import hashlib
 
     limit_batches(docs.sparkSession)
-    vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast(Lattice(vocabulary(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocab.value)
+        lattice = shared.value
         for b in pieces(batches, 128):
             texts = as_bytes(b.column("text"))
             ids = lattice.sample(texts, row_keys(b.column("id").to_pylist(), seed))
