@@ -5,16 +5,15 @@ to the others by weight until none is above (water filling, in closed form: sour
 after another). A document's expected copies are target / source words. Within a source, documents stand in order of size and
 id; the copies' prefix sum plus one offset of the source, drawn from a hash of seed and source, crosses integer boundaries,
 and a document is taken once for each boundary that it crosses. Order by size spreads the copies evenly over sizes, so that
-the words taken come near the target. A source draws ``DRAWS`` offsets and samples by the one whose words come nearest (rejective
-sampling); where a source has many documents, all of them come near.
+the words taken differ from the target by about the longest document at most.
 
-Rows are range-partitioned by (source, size, id) and written once; a row's rank is its place in its written partition plus
-the source's rows in the partitions before, so no source is ever in one task. What is collected per (partition, source)
-has at most partitions + sources rows.
+Rows are written once with a number each. Only number, source, size and id are range-partitioned (by source, size, id, number) and written
+again; a row's rank is its place in its written partition plus the source's rows in the partitions before, so no source is ever in one task and long
+texts don't meet in one. Copies come back to the rows by number. What is collected per (partition, source) has at most partitions + sources rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; a source without words has target 0
 and gives no copies; null ids come first in their source's order; rows alike in size and id are separate rows in the order they
-were written; an empty table gives no rows; other columns come back as they are.
+were read; an empty table gives no rows; other columns come back as they are, also one named like the added column, which then gets another name.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ from .common import WORD_RE, materialize
 
 #: The weights, repeating over the sources in order.
 WEIGHTS = (5, 2, 1)
-DRAWS = 16
 
 
 def words_in(text: str) -> Column:
@@ -53,46 +51,45 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return listed.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("level.rest") * F.col("w")).cast("double") / F.col("level.ws").cast("double")).alias("target"))
 
 
-def offset(source: str, seed: str, k: int) -> Column:
-    """The k-th offset in [0, 1) that a source draws."""
-    named = F.concat(F.lit(f"{seed}:{k}:"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")))
+def offset(source: str, seed: str) -> Column:
+    """The offset in [0, 1) that a source draws."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")))
     return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = True, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """The rows of ``docs`` with struct ``mix`` (size, source_size, target, copies); without the other columns if not keep_text."""
+    """The rows of ``docs`` and, last, a struct ``mix`` (size, source_size, target, copies), with underscores behind its name while a column of
+    ``docs`` has it; without the columns other than the id if not keep_text."""
     if not isinstance(docs.schema[source_col].dataType, T.StringType):
         raise TypeError(f"{source_col} must be a string column")
-    row = F.struct(*(F.col(c) for c in (docs.columns if keep_text else [id_col]))).alias("row")
-    narrow = docs.select(row, F.col(source_col).alias("source"), F.col(id_col).alias("id"), words_in(text_col).alias("size"))
-    keys = ("source", "size", "id")
-    ranged = narrow.repartitionByRange(*(F.col(k).asc_nulls_last() if k == "source" else F.col(k).asc() for k in keys)).sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "id")
+    columns = docs.columns if keep_text else [id_col]
+    name = "mix"
+    while name in columns:
+        name += "_"
+    narrow = docs.select(F.struct(*map(F.col, columns)).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), words_in(text_col).alias("size"))
+    rows = materialize(narrow.withColumn("number", F.monotonically_increasing_id()), "mix-rows")
+    order = (F.col("source").asc_nulls_last(), *map(F.col, ("size", "id", "number")))
+    ranged = rows.select("number", "source", "size", "id").repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialize(ranged.withColumn("pos", F.monotonically_increasing_id()), "mix-ranks").withColumn("part", F.shiftright("pos", 33))
     parts = placed.groupBy("part", "source").agg(F.count("*").alias("n"), F.min("pos").alias("pos0"), F.sum("size").alias("words"))
     parts = materialize(parts, "mix-parts")
     goals = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "source", (F.col("start") - F.col("pos0")).alias("shift"))
-    goals = goals.withColumn("each", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
-    starts = starts.withColumnsRenamed({"part": "p", "source": "s"})
-    ranked = placed.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).withColumn("rank", F.col("pos") + F.col("shift")).drop("p", "s")
-    goals = goals.withColumnRenamed("source", "s")
-
-    def copies(u: Column) -> Column:
-        # Rounding of the prefix sum can't give a document more than its limit.
-        return F.least(F.floor(F.col("each") * (F.col("rank") + 1) + u) - F.floor(F.col("each") * F.col("rank") + u), F.lit(most)).cast("long")
-
-    same = F.col("source").eqNullSafe(F.col("s"))
-    tried = ranked.select("source", "size", "rank").join(goals, same)
-    sums = tried.groupBy("s").agg(F.first("target").alias("target"), *(F.sum(F.col("size") * copies(offset("source", seed, k))).alias(f"k{k}") for k in range(DRAWS)))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"k{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), offset("s", seed, k).alias("u")) for k in range(DRAWS))))
-    drawn = materialize(sums.select(F.col("s").alias("s2"), best["u"].alias("u")), "mix-offsets")
-    goals = goals.join(drawn, F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    ranked = ranked.join(goals, same)
-    copies = copies(F.col("u"))
-    return ranked.select("row.*", F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
+    each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    goals = goals.withColumns({"each": each, "u": offset("source", seed)})
+    starts = starts.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnsRenamed({"part": "p", "source": "s"})
+    ranked = placed.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).withColumn("rank", F.col("pos") + F.col("shift"))
+    # Rounding of the prefix sum can't give a document more than its limit.
+    copies = F.least(F.floor(F.col("each") * (F.col("rank") + 1) + F.col("u")) - F.floor(F.col("each") * F.col("rank") + F.col("u")), F.lit(most)).cast("long")
+    mixed = ranked.select("number", F.col("id").alias(id_col), F.struct("size", "source_size", "target", copies.alias("copies")).alias(name))
+    if not keep_text:
+        return mixed.drop("number")
+    return rows.select("number", "row").join(mixed.select("number", F.col(name).alias("found")), "number").select("row.*", F.col("found").alias(name))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each row once for each copy; the columns of the documents."""
-    return mixed.withColumn("mix", F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int")))).drop("mix")
+    """Each row of ``mix`` once for each copy; the columns of the documents."""
+    *columns, name = mixed.columns
+    copies = F.explode(F.array_repeat(F.lit(1), F.col(f"`{name}`.copies").cast("int")))
+    return mixed.select(*(F.col(f"`{c}`") for c in columns), copies).select(*(F.col(f"`{c}`") for c in columns))

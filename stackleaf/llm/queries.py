@@ -120,13 +120,9 @@ ORACLE = {
         goals AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (level_rest * w)::DOUBLE / level_ws::DOUBLE END AS target FROM judged LEFT JOIN level ON true),
         each_one AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS each FROM goals),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size NULLS FIRST, doc_id NULLS FIRST) - 1 AS rank FROM sized),
-        offsets AS (SELECT source, source_size, target, each, k, ('0x' || substr(md5('mix:' || k || ':' || coalesce('=' || source, 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-            FROM each_one, range(16) AS r(k)),
-        tried AS (SELECT o.source, o.k, o.u, abs(sum(size * least(floor(o.each * (rank + 1)::DOUBLE + o.u)::BIGINT - floor(o.each * rank::DOUBLE + o.u)::BIGINT, 3))::DOUBLE - any_value(o.target)) AS off
-            FROM ranked JOIN offsets o ON ranked.source IS NOT DISTINCT FROM o.source GROUP BY o.source, o.k, o.u),
-        best AS (SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS place FROM tried) WHERE place = 1)
+        drawn AS (SELECT *, ('0x' || substr(md5('mix:' || coalesce('=' || source, 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM each_one)
         SELECT doc_id, size, source_size, target, size * least(floor(each * (rank + 1)::DOUBLE + u)::BIGINT - floor(each * rank::DOUBLE + u)::BIGINT, 3) AS taken
-        FROM ranked JOIN each_one ON ranked.source IS NOT DISTINCT FROM each_one.source JOIN best ON ranked.source IS NOT DISTINCT FROM best.source""",
+        FROM ranked JOIN drawn ON ranked.source IS NOT DISTINCT FROM drawn.source""",
     "op6_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings

@@ -83,7 +83,27 @@ def test_mixing(docs):
     assert all(r.mix.size == size[r.doc_id] and 0 <= r.mix.copies <= 3 for r in rows)
     assert abs(sum({r.source: r.mix.target for r in rows}.values()) - sum(size.values())) < 1e-6
     assert sorted((r.doc_id, r.mix.copies) for r in rows) == sorted((r.doc_id, r.mix.copies) for r in mixing.mix(docs.repartition(3)).collect())
-    assert mixing.emit(mixing.mix(docs)).count() == sum(r.mix.copies for r in rows)
+    copies = {r.doc_id: r.mix.copies for r in rows}
+    out = mixing.emit(mixing.mix(docs))
+    assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter({i: n for i, n in copies.items() if n})
+    # One offset a source: copies are the integers crossed by the prefix sum of equal shares, in order of size and id.
+    source = {r.doc_id: r.source for r in rows}
+    for s in set(source.values()):
+        own = sorted((i for i in source if source[i] == s), key=lambda i: (size[i], i))
+        goal = next(r.mix for r in rows if r.source == s)
+        each = goal.target / goal.source_size if goal.source_size else 0
+        u = int(hashlib.md5(("mix:" + ("null" if s is None else f"={s}")).encode()).hexdigest()[:8], 16) / 2**32
+        assert [copies[i] for i in own] == [math.floor(each * (k + 1) + u) - math.floor(each * k + u) for k in range(len(own))]
+
+
+def test_mixing_clashes(spark):
+    """Columns named like the operator's own, null and repeated ids, a source without words."""
+    rows = [(1, "a b", "s", 7, "m", 1), (1, "a b", "s", 7, "m", 2), (None, "a b c", None, 7, "m", 3), (None, None, None, 7, "m", 4), (5, "", "none", 7, "m", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, mix int, number string, size int")
+    mixed = mixing.mix(d)
+    assert mixed.columns == [*d.columns, "mix_"] and mixing.emit(mixed).columns == d.columns
+    assert Counter(tuple(r) for r in mixed.drop("mix_").collect()) == Counter(rows)
+    assert Counter(r.size for r in mixing.emit(mixed).collect()) == Counter({r.size: r.mix_.copies for r in mixed.collect() if r.mix_.copies})
 
 
 def test_simhash(docs):
