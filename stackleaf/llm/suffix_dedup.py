@@ -15,7 +15,11 @@ the run's bytes (its context) hold exactly these windows, and each window of the
    common extensions to the right and to the left) form the shard's text, each up to the end of its extensions and equal ones once. Its suffix array comes from induced sorting: classify suffixes as S or L,
    sort the leftmost-smaller substrings recursively, induce the whole order from theirs; the permuted common prefixes (Phi) then give
    each suffix's common prefix with its predecessor. A start whose common prefix with a neighbour reaches ``span`` is covered.
-4. Covered runs return to their documents, where they are joined and removed.
+4. Covered runs return to their documents, where they are joined and removed. Only texts whose document has a run (by a filter of fixed size) are
+   shuffled for that; the others are finished where they are read.
+
+A repeated string of ``span`` bytes consists of repeated strings of fewer bytes. So the steps run first for strings of ``passage`` bytes over all texts, which
+gives the bytes in repeated passages (reported, not removed), and then for ``span`` bytes over the runs of these passages, which hold every longer repeat.
 
 Defined results: null and empty texts are empty and lose nothing; matches never cross rows; rows that repeat id and text are copies of each
 other, as any two rows; null ids take part; an empty table gives no rows; other columns are not read.
@@ -260,7 +264,7 @@ def _shipped(span: int, bits: int, filter_bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(filter_bytes.value, dtype=np.int64)
         for b in pieces(batches):
-            texts, ids, hashes = as_bytes(b.column("text")), b.column("id").to_pylist(), b.column("th").to_pylist()
+            texts, ids, hashes, bases = as_bytes(b.column("text")), *(b.column(c).to_pylist() for c in ("id", "th", "base"))
             text, lo, hi, anchor, h = runs(texts, span)
             at = _positions(h, bits)
             hit = np.flatnonzero(np.all((words[at >> 6] >> (at & 63)) & 1, axis=1))
@@ -268,7 +272,7 @@ def _shipped(span: int, bits: int, filter_bytes):
             for k in hit.tolist():
                 t, a, z = int(text[k]), int(lo[k]), int(hi[k]) + span
                 body = texts[t][a:z]
-                groups.setdefault((int(h[k : k + 1].view(np.int64)[0]), xxhash.xxh3_128_digest(body)), []).append((body, int(anchor[k]) - a, ids[t], hashes[t], a, z))
+                groups.setdefault((int(h[k : k + 1].view(np.int64)[0]), xxhash.xxh3_128_digest(body)), []).append((body, int(anchor[k]) - a, ids[t], hashes[t], bases[t] + a, bases[t] + z))
             rows = []
             for (key, ctx), members in groups.items():
                 body, off, i, th, a, z = members[0]
@@ -310,24 +314,34 @@ def _split(span: int, size: int):
     return run
 
 
+#: Keys are broadcast up to so many (32 MB), counted first; beyond that both sides are dealt by key and salt.
+BROADCAST_KEYS, SALTS = 1 << 20, 16
+
+
+def _having(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """The rows with (left_semi) or without (left_anti) one of the written ``keys``, of which one may have very many rows."""
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), on, how)
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "th", "lo"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"], how).drop("salt")
+
+
 def _without_hot(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """The contexts, split until no key has more than ``hot`` different ones, and the runs (id, th, lo, hi) of those that are frequent as a whole.
-    Hot keys and frequent contexts are broadcast: at most 2^20 of each, as each stands for 2^-20 of the rows or more."""
-    hot = max(hot, contexts.count() >> 20)
+    """The contexts, split until no key has more than ``hot`` different ones, and the runs (id, th, lo, hi) of those that are frequent as a whole."""
     calm, covered, size = None, None, K
     plus = lambda a, b: b if a is None else a.unionByName(b)
     while True:
         keys = materialize(contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), "suffix-hot-keys")
         if keys.isEmpty():
             return plus(calm, contexts), covered
-        calm = plus(calm, contexts.join(F.broadcast(keys), "h", "left_anti"))
-        busy = contexts.join(F.broadcast(keys), "h", "left_semi")
+        calm = plus(calm, _having(contexts, keys, ["h"], "left_anti"))
+        busy = _having(contexts, keys, ["h"], "left_semi")
         frequent = materialize(busy.groupBy("h", "ctx").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h", "ctx"), "suffix-frequent")
-        same = busy.join(F.broadcast(frequent), ["h", "ctx"], "left_semi")
+        same = _having(busy, frequent, ["h", "ctx"], "left_semi")
         covered = plus(covered, same.where("lo is not null").select("id", "th", "lo", "hi"))
         none = {c: F.lit(None).cast(t) for c, t in (("id", "long"), ("th", "long"), ("lo", "int"), ("hi", "int"))}
         one = same.groupBy("h", "ctx").agg(F.first("body").alias("body"), F.first("off").alias("off")).select(F.lit(0).alias("kind"), "h", "ctx", "body", "off", F.lit(True).alias("many"), *(v.alias(c) for c, v in none.items()))
-        contexts = materialize(busy.join(F.broadcast(frequent), ["h", "ctx"], "left_anti").unionByName(one), "suffix-busy")
+        contexts = materialize(_having(busy, frequent, ["h", "ctx"], "left_anti").unionByName(one), "suffix-busy")
         if size == span:  # the key is the window itself, and what is left of it are single contexts
             return plus(calm, contexts), covered
         contexts, size = materialize(contexts.mapInArrow(_split(span, size), SHIPPED), "suffix-split"), wider(size, span)
@@ -399,46 +413,117 @@ def _judged(span: int, batch_bytes: int):
     return run
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
-        rows = []
-        for i, text, spans in zip(b.column("id").to_pylist(), as_bytes(b.column("text")), b.column("spans").to_pylist(), strict=True):
-            joined: list[list[int]] = []
-            for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-                if joined and lo <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], hi)
-                else:
-                    joined.append([lo, hi])
-            kept, at = [], 0
-            for lo, hi in joined:
-                kept.append(text[at:lo])
-                at = hi
-            left = b"".join([*kept, text[at:]])
-            rows.append((i, len(text), len(text) - len(left), len(joined), hashlib.sha256(left).hexdigest(), left, [{"lo": a, "hi": z} for a, z in joined]))
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, filter_bits: int = 1 << 26, batch_bytes: int = 1 << 20, hot: int = 1 << 12) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) for every row: the bytes left and the runs removed."""
-    if span < 2 * K:
-        raise ValueError(f"span must be {2 * K} bytes or more")
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    counted = rows.select("text").mapInArrow(_counted(span), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    words = counted.select("h").mapInArrow(_filter_words(filter_bits), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bitmap = np.zeros(filter_bits // 64, dtype=np.int64)
+def joined(spans: list) -> list[tuple[int, int]]:
+    """The maximal runs of spans (lo, hi)."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+RESULT = "id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>"
+
+
+def _result(rows: list[tuple[int, bytes, list[tuple[int, int]], int]]) -> pa.RecordBatch:
+    """The finished rows of (id, text, runs to remove, bytes in repeated passages)."""
+    made = []
+    for i, text, runs_, repeated in rows:
+        kept, at = [], 0
+        for lo, hi in runs_:
+            kept.append(text[at:lo])
+            at = hi
+        left = b"".join([*kept, text[at:]])
+        made.append((i, len(text), len(text) - len(left), len(runs_), repeated, hashlib.sha256(left).hexdigest(), left, [{"lo": a, "hi": z} for a, z in runs_]))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+    cols = zip(*made, strict=True) if made else [[]] * len(types)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept_sha256", "kept", "spans"])
+
+
+def _row_keys(ids: pa.Array, th: pa.Array) -> np.ndarray:
+    """One key for (id, th); a null id is a key of its own."""
+    return mix(ids.cast(pa.int64()).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).view(np.uint64), 5) ^ th.to_numpy().view(np.uint64)
+
+
+def _hit(words: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    at = _positions(keys, bits)
+    return np.all((words[at >> 6] >> (at & 63)) & 1, axis=1)
+
+
+def _known(keys: DataFrame, most_bits: int):
+    """A broadcast filter (bytes) of the written hashes ``h``, and its bits: 16 a key, at most ``most_bits``. A full filter lets more through and loses nothing."""
+    bits = min(most_bits, max(1 << 10, 1 << (16 * keys.count()).bit_length()))
+    words = keys.select("h").mapInArrow(_filter_words(bits), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    known = spark.sparkContext.broadcast(bitmap.tobytes())
-    shipped = materialize(rows.mapInArrow(_shipped(span, filter_bits, known), SHIPPED), "suffix-contexts")
+    return keys.sparkSession.sparkContext.broadcast(bitmap.tobytes()), bits
+
+
+def covered(rows: DataFrame, span: int, filter_bits: int, batch_bytes: int, hot: int) -> DataFrame:
+    """(id, th, spans), written: the runs of bytes of the texts (id, th, base, text) that repeated strings of ``span`` bytes cover; ``base`` is added to positions."""
+    counted = rows.select("text").mapInArrow(_counted(span), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    known, bits = _known(materialize(counted.select("h"), "suffix-kgrams"), filter_bits)
+    shipped = materialize(rows.mapInArrow(_shipped(span, bits, known), SHIPPED), "suffix-contexts")
     cover = "id long, th long, lo int, hi int"
     contexts, frequent = _without_hot(shipped.where("kind = 0"), span, hot)
     shards = contexts.repartition("h").sortWithinPartitions("h", "ctx")
     found = shards.mapInArrow(_judged(span, batch_bytes), cover).unionByName(shipped.where("kind = 1").select("id", "th", "lo", "hi"))
     if frequent is not None:
         found = found.unionByName(frequent)
-    spans = materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans").withColumnsRenamed({"id": "id2", "th": "th2"})
-    met = rows.join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "text", "spans")
-    return met.mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>")
+    return materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+
+
+def _with(rows: DataFrame, spans: DataFrame, name: str, how: str) -> DataFrame:
+    found = spans.select(F.col("id").alias("id2"), F.col("th").alias("th2"), F.col("spans").alias(name))
+    return rows.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), how).drop("id2", "th2")
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, passage: int = 256, filter_bits: int = 1 << 28, batch_bytes: int = 1 << 20, hot: int = 1 << 9
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, n_repeated, kept_sha256, kept, spans) for every row: the bytes left and the runs removed; ``n_repeated`` bytes lie in
+    strings of ``passage`` bytes (at most ``span``) that also start elsewhere."""
+    if not 2 * K <= passage <= span:
+        raise ValueError(f"passage must be {2 * K} bytes or more, and span not less")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.lit(0).alias("base"), text.cast("binary").alias("text"))
+    passages = covered(rows, passage, filter_bits, batch_bytes, hot)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(_row_keys(b.column("id"), b.column("th")).view(np.int64))], ["h"])
+
+    known, bits = _known(materialize(passages.select("id", "th").mapInArrow(keyed, "h long"), "suffix-rows"), filter_bits)
+
+    def busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(known.value, dtype=np.int64)
+        for b in pieces(batches):
+            yield b.filter(pa.array(_hit(words, bits, _row_keys(b.column("id"), b.column("th")))))
+
+    def calm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(known.value, dtype=np.int64)
+        for b in pieces(batches):
+            own = b.filter(pa.array(~_hit(words, bits, _row_keys(b.column("id"), b.column("th")))))
+            yield _result([(i, t, [], 0) for i, t in zip(own.column("id").to_pylist(), as_bytes(own.column("text")), strict=True)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            parts = [(i, h, lo, t[lo:hi]) for i, h, t, s in zip(*(b.column(c).to_pylist() for c in ("id", "th", "text", "passages")), strict=True) for lo, hi in joined(s) if hi - lo >= span]
+            cols = zip(*parts, strict=True) if parts else [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "th", "base", "text"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            found = zip(*(b.column(c).to_pylist() for c in ("id", "text", "gone", "passages")), strict=True)
+            yield _result([(i, t, joined(g), sum(hi - lo for lo, hi in joined(p))) for i, t, g, p in found])
+
+    met = rows.select("id", "th", "base", "text").mapInArrow(busy, "id long, th long, base int, text binary").drop("base")
+    met = materialize(_with(met, passages, "passages", "left"), "suffix-met")
+    if passage == span:
+        gone = passages
+    else:
+        gone = covered(met.where("passages is not null").mapInArrow(cut, "id long, th long, base int, text binary"), span, filter_bits, batch_bytes, hot)
+    done = _with(met, gone, "gone", "left").select("id", "text", "gone", "passages").mapInArrow(finish, RESULT)
+    return done.unionByName(rows.mapInArrow(calm, RESULT))

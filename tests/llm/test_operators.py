@@ -167,15 +167,28 @@ def test_golay_keys_meet():
     assert all(near[k] & set(own) for k, own in enumerate(simhash.own_keys(a, code).tolist()))
 
 
-def removal(got, made, span):
+def covered_bytes(made, span):
     seen = Counter(raw(t)[i : i + span] for t in made for i in range(len(raw(t)) - span + 1))
-    for row in got.collect():
-        t = raw(made[row.id])
+    out = []
+    for t in map(raw, made):
         gone = bytearray(len(t))
         for i in range(len(t) - span + 1):
             if seen[t[i : i + span]] > 1:
                 gone[i : i + span] = b"\x01" * span
-        assert (bytes(row.kept), row.n_removed) == (bytes(b for b, g in zip(t, gone, strict=True) if not g), sum(gone))
+        out.append(bytes(gone))
+    return out
+
+
+def removal(got, made, span, passage):
+    gone, repeated = covered_bytes(made, span), covered_bytes(made, passage)
+    rows = got.collect()
+    assert sorted(r.id for r in rows) == list(range(len(made)))
+    for row in rows:
+        t, g = raw(made[row.id]), gone[row.id]
+        left = bytes(b for b, x in zip(t, g, strict=True) if not x)
+        cuts = [(m.start(), m.end()) for m in re.finditer(b"\x01+", g)]
+        assert (bytes(row.kept), row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (left, len(t), sum(g), len(cuts), hashlib.sha256(left).hexdigest())
+        assert [(s.lo, s.hi) for s in row.spans] == cuts and row.n_repeated == sum(repeated[row.id])
 
 
 def test_suffix_array_and_removal(docs):
@@ -183,18 +196,20 @@ def test_suffix_array_and_removal(docs):
     for _ in range(200):
         s = [r.randint(1, 3) for _ in range(r.randint(1, 50))] + [0]
         assert suffix_dedup.suffix_array(s, 4) == sorted(range(len(s)), key=lambda i: s[i:])
-    removal(suffix_dedup.remove_repeats(docs, span=400), texts(), 400)
+    removal(suffix_dedup.remove_repeats(docs, span=400), texts(), 400, 256)
+    removal(suffix_dedup.remove_repeats(docs, span=400, passage=400, filter_bits=1 << 10, batch_bytes=4096), texts(), 400, 400)
 
 
-@pytest.mark.parametrize("hot", [2])
-def test_removal_of_hot_passages(spark, hot):
+@pytest.mark.parametrize("broadcast", [1 << 20, -1])
+def test_removal_of_hot_passages(spark, broadcast, monkeypatch):
     """Passages shorter and longer than the span between other words, in many texts: keys split down to single windows."""
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_KEYS", broadcast)
     r = random.Random(4)
     noise = lambda n: " ".join(f"{r.randrange(10**6)}" for _ in range(n))
     long, short = noise(30), noise(9)
     made = [noise(r.randrange(1, 20)) + (long if k % 2 else long[:110]) + noise(r.randrange(1, 9)) + (short if k % 3 else long[40:150]) + noise(r.randrange(9)) for k in range(24)]
     made += ["z" * 500, "z" * 300, made[0], made[1] + made[2], None]
-    removal(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), span=100, hot=hot), made, 100)
+    removal(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), span=100, passage=72, hot=2), made, 100, 72)
 
 
 def test_secrets(spark):
