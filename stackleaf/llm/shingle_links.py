@@ -17,6 +17,7 @@ and texts of equal shingles are one text, of the smallest id; an empty table giv
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import as_bytes, materialize, pieces
 
@@ -33,6 +33,8 @@ BANDS, ROWS = 12, 4
 BROADCAST_IDS = 2_000_000
 #: Members of a bucket that all meet; texts of a shingle's list that Spark joins; texts in a block of a longer one.
 SMALL, LIST, BLOCK = 16, 64, 1_000
+#: Texts that hold a shingle before it counts as common; common shingles that travel with the tasks (32 MB).
+RARE, COMMON = 8, 2_000_000
 
 _random = np.random.default_rng(5)
 FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -92,23 +94,49 @@ def candidates(printed: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
     return materialize(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "alike-candidates"), materialize(crowd, "alike-crowd")
 
 
+def _common_tokens(sets: DataFrame):
+    """A broadcast (tokens, classes) of the shingles that over ``RARE`` texts hold, by powers of two of their number; at most ``COMMON`` of them: the least number
+    of texts doubles until no more are left. The order by class and hash is the same for all texts, whatever it leaves out."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 64):
+            x, n = np.unique(np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.int64) for v in b.column("hashes")] or [np.zeros(0, dtype=np.int64)]), return_counts=True)
+            yield pa.record_batch([pa.array(x), pa.array(n)], ["token", "n"])
+
+    held = sets.mapInArrow(shingles, "token long, n long").groupBy("token").agg(F.sum("n").alias("df")).where(F.col("df") > RARE)
+    held = materialize(held.select("token", F.floor(F.log2("df")).alias("class")), "alike-common")
+    least, left = 0, 0
+    for r in held.groupBy("class").agg(F.count("*").alias("c")).orderBy(F.col("class").desc()).collect():
+        left += r.c
+        if left > COMMON:
+            least = r["class"] + 1
+            break
+    found = held.where(F.col("class") >= least).orderBy("token").toArrow()
+    return sets.sparkSession.sparkContext.broadcast((found.column("token").to_numpy(), found.column("class").to_numpy()))
+
+
 def crowd_pairs(crowd: DataFrame, sets: DataFrame, similarity: float, longest: int | None = None, block: int | None = None) -> DataFrame:
     """(a, b): all pairs of the texts (id, dig, fp, n, label) of ``crowd``, as structs (id, dig, fp, n), of different labels that could be as alike as asked."""
     longest, block = longest or LIST, block or BLOCK
     t = similarity
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = materialize(sets.join(crowd.select("dig").distinct(), "dig", "left_semi"), "alike-shingles")
+    common = _common_tokens(own)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, classes = common.value
         for b in pieces(batches, 64):
-            found = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in b.column("hashes")]
-            for i, x in enumerate(found):
-                yield pa.record_batch([pa.array(np.full(len(x), b.column("dig")[i].as_py())), pa.array(np.full(len(x), len(x))), pa.array(x)], ["dig", "n", "token"])
-
-    flat = materialize(sets.join(crowd.select("dig").distinct(), "dig", "left_semi").mapInArrow(shingles, "dig long, n long, token long"), "alike-shingles")
-    seen = flat.groupBy("token").agg(F.count("*").alias("df"))
-    # Shingles of one text meet nothing, but have their place in its order.
-    ranked = flat.join(seen, "token").withColumn("at", F.row_number().over(Window.partitionBy("dig").orderBy("df", "token")))
-    need = lambda share: F.ceil(F.lit(share) * F.col("n") - F.lit(1e-6))
-    first = ranked.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - need(t) + 1)).select("dig", "token", "at", (F.col("at") <= F.col("n") - need(2 * t / (1 + t)) + 1).alias("low"))
+            for dig, v in zip(b.column("dig").to_pylist(), b.column("hashes"), strict=True):
+                x = np.frombuffer(v.as_buffer(), dtype=np.int64)
+                n = len(x)
+                at = np.minimum(np.searchsorted(tokens, x), max(0, len(tokens) - 1))
+                kind = np.where(tokens[at] == x, classes[at], 0) if len(tokens) else np.zeros(n, dtype=np.int64)
+                first = x[np.lexsort((x, kind))][: n - math.ceil(t * n - 1e-6) + 1]
+                place = np.arange(1, len(first) + 1)
+                low = place <= n - math.ceil(2 * t / (1 + t) * n - 1e-6) + 1
+                yield pa.record_batch([pa.array(np.full(len(first), dig, dtype=np.int64)), pa.array(np.full(len(first), n, dtype=np.int64)), pa.array(first), pa.array(place), pa.array(low)], ["dig", "n", "token", "at", "low"])
+
+    first = own.mapInArrow(prefixes, "dig long, n long, token long, at long, low boolean").drop("n")
     x = F.struct("n", "dig", "id", "fp", "label", "at", "low").alias("x")
     lists = materialize(first.join(crowd, "dig").select("token", x), "alike-lists")
     sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.min("x.label").alias("l1"), F.max("x.label").alias("l2"), F.max("x.low").alias("met")).where("size > 1 and l1 <> l2 and met")
