@@ -29,10 +29,11 @@ VERDICTS = {"error": "gone", "view": "drifted", "click": "restricted", "purchase
 
 
 def health(spark, d):
-    """Events as a health log of 500 bookmarks."""
+    """Events as a health log of the documents: each event is a check of document event_id % documents."""
     verdict = F.element_at(F.create_map(*(F.lit(x) for kv in VERDICTS.items() for x in kv)), F.col("event_type"))
-    e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("id"), F.pmod("event_id", F.lit(500)).alias("bookmark_id"), C.epoch_seconds(F.col("ts")).alias("checked_at"), verdict.alias("verdict"), F.least(F.col("value") / 200, F.lit(1.0)).alias("confidence"))
+    n = table(spark, d, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    e = table(spark, d, "events").join(F.broadcast(n))  # n is one row
+    return e.select(F.col("event_id").alias("id"), F.pmod("event_id", "n").alias("bookmark_id"), C.epoch_seconds(F.col("ts")).alias("checked_at"), verdict.alias("verdict"), F.least(F.col("value") / 200, F.lit(1.0)).alias("confidence"))
 
 
 def probes(spark, d):
@@ -113,13 +114,6 @@ def q_stats(spark, d):
     return a.join(b)  # one row each
 
 
-def q_due(spark, d):
-    last = L.latest(health(spark, d))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("bookmark_id"), "n_chars")
-    due = docs.join(last.select("bookmark_id", "checked_at", "verdict"), "bookmark_id", "left").where(F.col("checked_at").isNull() | (F.col("checked_at") < 1706745600 - 2 * 86400))
-    return due.select("bookmark_id", "n_chars", "checked_at", "verdict")
-
-
 def q_host_politeness(spark, d):
     per = hosts(spark, d).groupBy("host").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("hosts"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("busiest"), (F.max("n") * F.lit(0.5)).alias("seconds"))
@@ -143,10 +137,8 @@ def queries():
         "import_bursts": q_bursts,
         "import_burst_windows": lambda s, d: L.bursts(saves(s, d)),
         "anchor_window": q_anchor_window,
-        "health_latest_summary": lambda s, d: L.latest(health(s, d)).groupBy("verdict").agg(F.count("*").alias("n")),
         "failure_runs": lambda s, d: L.failure_runs(health(s, d)),
         "confirmed_gone": lambda s, d: L.confirmed_gone(health(s, d)),
-        "due_for_check": q_due,
         "upsert_merge": q_upsert,
         "recall_mrr_by_type": q_recall,
         "holm": q_holm,
@@ -164,7 +156,7 @@ def queries():
 SAVES = "saves AS (SELECT event_id AS id, user_id, floor(epoch_us(ts) / 1000000)::BIGINT AS ts FROM events)"
 RUNS = f"""{SAVES}, marked AS (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id) > 7200)::INTEGER, 1) AS start FROM saves),
     runs AS (SELECT id, user_id, ts, sum(start) OVER (PARTITION BY user_id ORDER BY ts, id)::BIGINT AS run FROM marked)"""
-HEALTH = """log AS (SELECT event_id AS id, event_id % 500 AS bookmark_id, floor(epoch_us(ts) / 1000000)::BIGINT AS checked_at, least(value / 200, 1.0::DOUBLE) AS confidence,
+HEALTH = """log AS (SELECT event_id AS id, event_id % (SELECT greatest(count(*), 1) FROM documents) AS bookmark_id, floor(epoch_us(ts) / 1000000)::BIGINT AS checked_at, least(value / 200, 1.0::DOUBLE) AS confidence,
     CASE event_type WHEN 'error' THEN 'gone' WHEN 'view' THEN 'drifted' WHEN 'click' THEN 'restricted' WHEN 'purchase' THEN 'unreachable' WHEN 'signup' THEN 'alive' END AS verdict FROM events)"""
 HOSTS = "hosts AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM pages)"
 SUFFIXES = "(" + ", ".join(f"'{x}'" for x in C.TWO_LEVEL) + ")"
@@ -217,12 +209,9 @@ def oracle_sql():
         "import_burst_windows": f"""WITH {SAVES}, w AS (SELECT *, count(*) OVER (ORDER BY ts RANGE BETWEEN CURRENT ROW AND 599 FOLLOWING) AS c FROM saves),
             m AS (SELECT id, max(c) FILTER (c > 3) OVER (ORDER BY ts RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS n FROM w) SELECT id, n FROM m WHERE n IS NOT NULL""",
         "anchor_window": f"WITH {SAVES} SELECT user_id, floor(quantile_cont(ts, 0.1))::BIGINT AS lo, floor(quantile_cont(ts, 0.9))::BIGINT AS hi FROM saves GROUP BY user_id HAVING count(*) >= 2",
-        "health_latest_summary": f"WITH {HEALTH}, l AS (SELECT *, row_number() OVER (PARTITION BY bookmark_id ORDER BY checked_at DESC, id DESC) AS r FROM log) SELECT verdict, count(*) AS n FROM l WHERE r = 1 GROUP BY verdict",
         "failure_runs": f"""WITH {HEALTH}, g AS (SELECT *, sum((verdict NOT IN ('gone', 'unreachable'))::INTEGER) OVER (PARTITION BY bookmark_id ORDER BY checked_at DESC, id DESC) AS good FROM log)
             SELECT bookmark_id, count(*) AS failures, min(checked_at) AS failing_since FROM g WHERE good = 0 GROUP BY bookmark_id""",
         "confirmed_gone": f"WITH {HEALTH} SELECT bookmark_id, count(*) AS checks FROM log WHERE verdict = 'gone' AND confidence >= 0.75 GROUP BY bookmark_id HAVING count(*) >= 2 AND max(checked_at) - min(checked_at) >= 604800",
-        "due_for_check": f"""WITH {HEALTH}, l AS (SELECT *, row_number() OVER (PARTITION BY bookmark_id ORDER BY checked_at DESC, id DESC) AS r FROM log)
-            SELECT doc_id AS bookmark_id, n_chars, checked_at, verdict FROM documents LEFT JOIN (SELECT * FROM l WHERE r = 1) ON doc_id = bookmark_id WHERE checked_at IS NULL OR checked_at < 1706572800""",
         "upsert_merge": f"""WITH {HOSTS}, t AS (SELECT page_id, sha256(url) AS url_hash, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\n\\r]+', ' ', 'g')) AS title, host AS folder FROM pages JOIN hosts USING (page_id)),
             o AS (SELECT url_hash, arg_min(title, page_id) AS title, arg_min(folder, page_id) AS folder, min(page_id) AS date_added FROM t WHERE page_id % 3 <> 0 GROUP BY url_hash),
             n AS (SELECT url_hash, arg_min(title, page_id) AS title, '' AS folder, min(page_id) AS date_added FROM t WHERE page_id % 2 = 0 GROUP BY url_hash)

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 from stackleaf.functions import columns as C
 from stackleaf.operators import library as L
 from stackleaf.operators import ranking as R
-from stackleaf.plans import more
-from stackleaf.plans import queries as Q
+from stackleaf import plans
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "events", "embeddings", "benchmark", "nation", "conversations")
+TABLES = ("documents", "pages", "events", "embeddings", "benchmark", "labels", "nation", "conversations")
 
 
 def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-QUERIES, SQL = Q.queries() | more.queries(), Q.oracle_sql() | more.oracle_sql()
+QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
