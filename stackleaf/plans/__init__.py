@@ -17,11 +17,11 @@ def _all(what: str) -> dict:
     return found
 
 
-def queries() -> dict:
+def all_queries() -> dict:
     """All queries by name."""
     return _all("queries")
 
 
-def oracle_sql() -> dict[str, str]:
+def all_sql() -> dict[str, str]:
     """The SQL of each query that SQL can express."""
     return _all("oracle_sql")

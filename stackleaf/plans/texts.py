@@ -56,7 +56,9 @@ def dealt(values, key="event_id"):
 
 
 def entities():
-    return F.slice(F.array_distinct(F.regexp_extract_all("body", F.lit("\\b[A-Z][A-Za-z0-9+.-]{2,}\\b"), F.lit(0))), 1, 6)
+    # Letters beyond ASCII count as letters at a word's edge in all engines once they are underscores.
+    plain = F.regexp_replace("body", "[^\\x00-\\x7F]", "_")
+    return F.slice(F.array_distinct(F.regexp_extract_all(plain, F.lit("\\b[A-Z][A-Za-z0-9+.-]{2,}\\b"), F.lit(0))), 1, 6)
 
 
 def q_embedding(spark, d):
@@ -299,7 +301,7 @@ SERVICE = f"""recorded AS (SELECT event_id, {pick(DOCS, 'event_id')}::JSON AS j
     service AS (SELECT event_id, j ->> '$.id' AS document, {s('userId', 'user_id')} AS user, j ->> '$.url' AS url, {s('title', 'linkTitle', 'link_title', 'url')} AS title,
         array_to_string(list_filter(coalesce(from_json(j -> '$.tags', '["VARCHAR"]'), []), lambda t: length(trim(t)) > 0), ' / ') AS folder, array_to_string(list_filter([{s('description')}, {s('note')}, {s('content')}], lambda p: length(trim(p)) > 0), chr(10) || chr(10)) AS body,
         {TIME.format(x="coalesce(j ->> '$.createdAt', j ->> '$.created_at')")} AS created_at FROM recorded)"""
-ENTITIES = "regexp_extract_all(body, '\\b[A-Z][A-Za-z0-9+.-]{2,}\\b')"
+ENTITIES = "regexp_extract_all(regexp_replace(body, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Z][A-Za-z0-9+.-]{2,}\\b')"
 CUT = "CASE WHEN length(body) > 2000 THEN left(body, 1300) || chr(10) || '...' || chr(10) || right(body, 700) ELSE body END"
 EMBED = f"""{BOOKMARKS}, entities AS (SELECT *, {ENTITIES} AS ents, left(trim(regexp_replace(body, '{W.SPACES}', ' ', 'g'), ' '), 200) AS summary FROM marks),
     made AS (SELECT *, array_to_string(list_filter([trim(title, ' '), trim(summary, ' '), array_to_string(list_concat([folder], {distinct('ents')}[:6])[:12], ' · '), {CUT}], lambda p: length(p) > 0), chr(10)) AS made FROM entities),

@@ -4,10 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stackleaf import plans
 from stackleaf.functions import columns as C
 from stackleaf.operators import library as L
 from stackleaf.operators import ranking as R
-from stackleaf import plans
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "events", "embeddings", "benchmark", "labels", "nation", "conversations")
@@ -17,7 +17,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-QUERIES, SQL = plans.queries(), plans.oracle_sql()
+QUERIES, SQL = plans.all_queries(), plans.all_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
