@@ -8,9 +8,10 @@ the run's bytes (its context) hold exactly these windows, and each window of the
    lets through by mistake costs a shipment and changes nothing.
 2. Contexts go to their k-gram's shard. Contexts that are equal within a piece of a task are covered at once, and only one goes on, so a
    passage that a third of all documents hold sends one row a piece.
-   A k-gram that more than ``hot`` contexts share would overload its shard. Its windows hold either the bytes before the k-gram or those after it, so each
-   context is split in two, keyed by the k-gram with half of the missing bytes at that side. Equal windows go the same way, as their k-gram stands at the
-   same place in them. This repeats while a key is hot, until the key is the whole window; contexts that are frequent as a whole leave on the way.
+   A k-gram that more than ``hot`` contexts share would overload its shard. Its contexts are dealt by their whole text instead, where equal ones are covered and
+   become one. Its windows hold either the bytes before the k-gram or those after it, so each context that is left
+   is split in two, keyed by the k-gram with half of the missing bytes at that side. Equal windows go the same way, as their k-gram stands at the
+   same place in them. This repeats while a key is hot, until the key is the whole window.
 3. In a shard, equal contexts are covered whole. Where a k-gram has different contexts, those that could share ``span`` bytes (by the longest
    common extensions to the right and to the left) form the shard's text, each up to the end of its extensions and equal ones once. Its suffix array comes from induced sorting: classify suffixes as S or L,
    sort the leftmost-smaller substrings recursively, induce the whole order from theirs; the permuted common prefixes (Phi) then give
@@ -318,41 +319,39 @@ def _split(span: int, size: int):
 BROADCAST_KEYS, SALTS = 1 << 20, 16
 
 
-def _having(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """The rows with (left_semi) or without (left_anti) one of the written ``keys``, of which one may have very many rows."""
+def _marked(contexts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``hot``: is a context's key among the written ``keys``, of which one may have very many contexts?"""
+    flagged = keys.withColumn("hot", F.lit(True))
     if keys.count() <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(keys), on, how)
-    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "th", "lo"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"], how).drop("salt")
+        met = contexts.join(F.broadcast(flagged), "h", "left")
+    else:
+        salted = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = contexts.withColumn("salt", F.pmod(F.xxhash64("ctx", "id", "lo"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left").drop("salt")
+    return met.withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
-def _without_hot(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """The contexts, split until no key has more than ``hot`` different ones, and the runs (id, th, lo, hi) of those that are frequent as a whole."""
-    calm, covered, size = None, None, K
-    plus = lambda a, b: b if a is None else a.unionByName(b)
+def _repeats(contexts: DataFrame, span: int, hot: int, batch_bytes: int) -> DataFrame:
+    """The covered runs (id, th, lo, hi) of the contexts. In each round the contexts of keys with at most ``hot`` contexts are judged in their key's shard;
+    those of the others are dealt by their whole text, equal ones become one, and what is left is split and goes to the next round."""
+    size, found = K, None
     while True:
         keys = materialize(contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), "suffix-hot-keys")
-        if keys.isEmpty():
-            return plus(calm, contexts), covered
-        calm = plus(calm, _having(contexts, keys, ["h"], "left_anti"))
-        busy = _having(contexts, keys, ["h"], "left_semi")
-        frequent = materialize(busy.groupBy("h", "ctx").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h", "ctx"), "suffix-frequent")
-        same = _having(busy, frequent, ["h", "ctx"], "left_semi")
-        covered = plus(covered, same.where("lo is not null").select("id", "th", "lo", "hi"))
-        none = {c: F.lit(None).cast(t) for c, t in (("id", "long"), ("th", "long"), ("lo", "int"), ("hi", "int"))}
-        one = same.groupBy("h", "ctx").agg(F.first("body").alias("body"), F.first("off").alias("off")).select(F.lit(0).alias("kind"), "h", "ctx", "body", "off", F.lit(True).alias("many"), *(v.alias(c) for c, v in none.items()))
-        contexts = materialize(_having(busy, frequent, ["h", "ctx"], "left_anti").unionByName(one), "suffix-busy")
-        if size == span:  # the key is the window itself, and what is left of it are single contexts
-            return plus(calm, contexts), covered
-        contexts, size = materialize(contexts.mapInArrow(_split(span, size), SHIPPED), "suffix-split"), wider(size, span)
+        shard = F.when(F.col("hot"), F.xxhash64("h", "ctx")).otherwise(F.col("h")).alias("shard")
+        dealt = _marked(contexts, keys).select("*", shard).repartition("shard").sortWithinPartitions("shard", "h", "ctx").drop("shard", "kind")
+        done = materialize(dealt.mapInArrow(_judged(span, batch_bytes), SHIPPED), "suffix-judged")
+        runs_ = done.where("kind = 1").select("id", "th", "lo", "hi")
+        found = runs_ if found is None else found.unionByName(runs_)
+        if size == span or keys.isEmpty():  # a key that is the whole window has one context left
+            return found
+        contexts, size = materialize(done.where("kind = 0").mapInArrow(_split(span, size), SHIPPED), "suffix-split"), wider(size, span)
 
 
 def _judged(span: int, batch_bytes: int):
-    """A shard's contexts, those of a k-gram together and equal ones next to each other, to covered runs."""
+    """A shard's contexts, those of a k-gram together and equal ones next to each other, to covered runs (kind 1); of hot keys only equal
+    contexts are covered, and one of each comes back (kind 0)."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "th", "lo", "hi"])
+        return _shipment([(1, None, None, None, None, None, *r) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, waiting, held = None, {}, [], 0
@@ -385,14 +384,33 @@ def _judged(span: int, batch_bytes: int):
             waiting.clear()
             held = 0
 
+        last, kept = None, []
+
+        def passed() -> None:
+            nonlocal last
+            if last is not None:
+                h, ctx, body, off, many, own = last
+                kept.append((0, h, ctx, body, off, many, *((None,) * 4 if many or own is None else own)))
+            last = None
+
         for b in batches:
-            for h, ctx, body, off, many, i, th, lo, hi in zip(*(b.column(c).to_pylist() for c in ("h", "ctx", "body", "off", "many", "id", "th", "lo", "hi")), strict=True):
+            for h, ctx, body, off, many, i, th, lo, hi, hot in zip(*(b.column(c).to_pylist() for c in ("h", "ctx", "body", "off", "many", "id", "th", "lo", "hi", "hot")), strict=True):
+                own = (i, th, lo, hi) if lo is not None else None
+                if hot:
+                    if last is not None and last[:2] == (h, ctx):
+                        done.extend(o for o in (last[5], own) if o)
+                        last = (h, ctx, body, off, True, None)
+                    else:
+                        passed()
+                        if many and own:
+                            done.append(own)
+                        last = (h, ctx, body, off, many, None if many else own)
+                    continue
                 if h != key:
                     close()
                     key = h
                     if held > batch_bytes:
                         sort()
-                own = (i, th, lo, hi) if lo is not None else None
                 m = group.get(ctx)
                 if m is None:
                     m = group[ctx] = {"body": body, "off": off, "many": many, "own": own}
@@ -405,10 +423,17 @@ def _judged(span: int, batch_bytes: int):
             if len(done) > 10_000:
                 yield out(done)
                 done.clear()
+            if len(kept) > 2_000:
+                yield _shipment(kept)
+                kept.clear()
         close()
+        passed()
         if waiting:
             sort()
-        yield out(done)
+        if done:
+            yield out(done)
+        if kept:
+            yield _shipment(kept)
 
     return run
 
@@ -466,12 +491,7 @@ def covered(rows: DataFrame, span: int, filter_bits: int, batch_bytes: int, hot:
     counted = rows.select("text").mapInArrow(_counted(span), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     known, bits = _known(materialize(counted.select("h"), "suffix-kgrams"), filter_bits)
     shipped = materialize(rows.mapInArrow(_shipped(span, bits, known), SHIPPED), "suffix-contexts")
-    cover = "id long, th long, lo int, hi int"
-    contexts, frequent = _without_hot(shipped.where("kind = 0"), span, hot)
-    shards = contexts.repartition("h").sortWithinPartitions("h", "ctx")
-    found = shards.mapInArrow(_judged(span, batch_bytes), cover).unionByName(shipped.where("kind = 1").select("id", "th", "lo", "hi"))
-    if frequent is not None:
-        found = found.unionByName(frequent)
+    found = _repeats(shipped.where("kind = 0"), span, hot, batch_bytes).unionByName(shipped.where("kind = 1").select("id", "th", "lo", "hi"))
     return materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
 
 
@@ -481,7 +501,7 @@ def _with(rows: DataFrame, spans: DataFrame, name: str, how: str) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, passage: int = 256, filter_bits: int = 1 << 28, batch_bytes: int = 1 << 20, hot: int = 1 << 9
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, passage: int = 256, filter_bits: int = 1 << 28, batch_bytes: int = 1 << 20, hot: int = 1 << 10
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, n_repeated, kept_sha256, kept, spans) for every row: the bytes left and the runs removed; ``n_repeated`` bytes lie in
     strings of ``passage`` bytes (at most ``span``) that also start elsewhere."""
