@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import dot
-
 
 def ranked(scored: DataFrame, *by: str) -> DataFrame:
     """``rank`` from 1 within ``by``: higher scores first, ties by doc_id."""
@@ -50,25 +52,77 @@ def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return listed.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of ``docs`` (doc_id, text) for ``queries`` (query_id, text): any term may match."""
-    wanted = terms(queries, "query_id", "text").select(F.col("doc_id").alias("query_id"), "term").distinct()
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    sizes = docs.select("doc_id", F.size(words).cast("long").alias("dl"))
-    stats = sizes.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    posted = terms(docs, "doc_id", "text").join(wanted.select("term").distinct(), "term", "left_semi")
-    df = posted.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    met = posted.join(df, "term").join(wanted, "term").join(F.broadcast(stats))  # stats is one row
-    idf = F.log1p((F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest vectors (doc_id, v) of each query (query_id, q) by inner product. The queries are a stated set: Spark
-    joins them in blocks with all vectors, and keeps k a query before the exchange."""
-    met = vectors.join(queries, vectors["doc_id"] != queries["query_id"])
-    return top(met.select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k, "query_id")
+def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best ``docs`` (doc_id, text) of each of ``queries`` (query_id, text) by their plain words; any term may match."""
+    from . import lexical
+
+    cut = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    asked = queries.select("query_id", F.explode(F.array_distinct(cut("text"))).alias("term"))
+    sizes = docs.select("doc_id", cut("text").alias("w")).select("doc_id", "w", F.size("w").cast("long").alias("dl"))
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    flat = sizes.select("doc_id", "dl", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
+    return lexical.scored(flat.groupBy("doc_id", "dl", "term").agg(F.count("*").cast("double").alias("f")), stats, asked, k, plus=True)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", block: int = 256, others: bool = True) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` vectors (doc_id, v) nearest to each query (query_id, q), with ``others`` not counting one of the query's own id, by inner
+    product (dot) or distance (l2, as a negative score). The queries are a stated set, which travels with the tasks in blocks; each batch
+    of vectors keeps its ``k`` best a query before the exchange."""
+    asked = queries.where("q is not null").orderBy("query_id").toArrow()
+    ids = asked.column("query_id").to_numpy()
+    q = np.array(asked.column("q").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                b = batch.slice(at, block)
+                docs = b.column("doc_id").to_numpy()
+                v = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(docs), -1)
+                for i in range(0, len(ids), 1000):
+                    part = q[i : i + 1000]
+                    raw = part @ v.T if metric == "dot" else -np.sqrt(np.maximum(((part[:, None, :] - v[None, :, :]) ** 2).sum(axis=2), 0.0))
+                    score = np.round(raw, 6) + 0.0
+                    own = (ids[i : i + 1000][:, None] == docs[None, :]) & others
+                    order = np.lexsort((np.broadcast_to(docs, score.shape), -np.where(own, -np.inf, score)), axis=1)[:, : k + 1]
+                    rows = np.repeat(np.arange(len(part)), order.shape[1])
+                    cols = order.ravel()
+                    keep = ~own[rows, cols]
+                    yield pa.record_batch([pa.array(ids[i : i + 1000][rows[keep]]), pa.array(docs[cols[keep]]), pa.array(score[rows[keep], cols[keep]])], ["query_id", "doc_id", "score"])
+
+    if not len(ids):
+        return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    return top(vectors.where("v is not null").select("doc_id", "v").mapInArrow(run, "query_id long, doc_id long, score double"), k, "query_id")
+
+
+def mutual(vectors: DataFrame, k: int, farthest: float, weight: float = 0.8, block: int = 4096) -> DataFrame:
+    """(src, dst, weight), both ways: vectors (doc_id, v) that are each among the other's ``k`` nearest within distance ``farthest``. Exact: all pairs of blocks
+    of vectors meet, each pair of blocks in a task of its own, which keeps ``k`` a vector; so time grows with the square of the vectors."""
+    n = vectors.where("v is not null").count()
+    parts = max(1, -(-n // block))
+    own = vectors.where("v is not null").select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("p"))
+    left = own.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.col("p").alias("a"), F.col("r").alias("b"), F.lit(0).alias("side"), "doc_id", "v")
+    right = own.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.col("r").alias("a"), F.col("p").alias("b"), F.lit(1).alias("side"), "doc_id", "v")
+
+    def met(group: pa.Table) -> pa.Table:
+        side, ids = group.column("side").to_numpy(), group.column("doc_id").to_numpy()
+        v = np.array(group.column("v").to_pylist(), dtype=np.float64)
+        x, y, xi, yi = v[side == 0], v[side == 1], ids[side == 0], ids[side == 1]
+        out = [[], [], []]
+        for at in range(0, len(x), 64):
+            d = np.round(np.sqrt(((x[at : at + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2)), 6)
+            d[xi[at : at + 64][:, None] == yi[None, :]] = np.inf
+            order = np.lexsort((np.broadcast_to(yi, d.shape), d), axis=1)[:, :k]
+            rows, cols = np.repeat(np.arange(len(d)), order.shape[1]), order.ravel()
+            keep = np.isfinite(d[rows, cols])
+            for o, c in zip(out, (xi[at : at + 64][rows[keep]], yi[cols[keep]], -d[rows[keep], cols[keep]]), strict=True):
+                o.append(c)
+        made = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return pa.table({"query_id": pa.array(made[0].astype(np.int64)), "doc_id": pa.array(made[1].astype(np.int64)), "score": pa.array(made[2].astype(np.float64))})
+
+    near = top(left.unionByName(right).groupBy("a", "b").applyInArrow(met, "query_id long, doc_id long, score double"), k, "query_id").where(F.col("score") >= -farthest)
+    edges = near.select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst"), "score")
+    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    return edges.join(back, ["src", "dst"]).select("src", "dst", F.round(F.lit(weight) * F.greatest(F.lit(0.0), 1 + F.col("score") / 2), 4).alias("weight"))
 
 
 def interleave(lists: DataFrame, first: str, second: str) -> DataFrame:

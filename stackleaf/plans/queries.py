@@ -24,6 +24,8 @@ def saves(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", C.epoch_seconds(F.col("ts")).alias("ts"))
 
 
+#: The distance that bounds semantic edges: the first percentile of all pairs of these vectors, to two decimals.
+FARTHEST = 1.19
 #: The verdict that each event type stands for.
 VERDICTS = {"error": "gone", "view": "drifted", "click": "restricted", "purchase": "unreachable", "signup": "alive"}
 
@@ -41,17 +43,18 @@ def probes(spark, d):
 
 
 def facets(spark, d):
-    """Ranked lists of two facets over the vectors: by inner product, and by the distance of labels and ids."""
+    """Ranked lists of two facets over the vectors: by inner product, and of the same label by the distance of ids."""
     v = table(spark, d, "embeddings").where("embedding is not null")
-    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    met = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label").join(queries, F.col("doc_id") != F.col("query_id"))
-    content = met.select("query_id", F.lit("content").alias("facet"), "doc_id", F.round(C.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    label = met.where("label = ql").select("query_id", F.lit("label").alias("facet"), "doc_id", (F.lit(-1.0) * F.abs(F.col("doc_id") - F.col("query_id"))).alias("score"))
-    return R.top(content.unionByName(label), 50, "query_id", "facet")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    content = R.nearest(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), asked.select("query_id", "q"), 50)
+    met = v.select(F.col("vec_id").alias("doc_id"), "label").join(asked.select("query_id", "label"), "label").where("doc_id <> query_id")
+    label = met.select("query_id", "doc_id", (F.lit(-1.0) * F.abs(F.col("doc_id") - F.col("query_id"))).alias("score"))
+    named = lambda rows, facet: rows.select("query_id", F.lit(facet).alias("facet"), "doc_id", "score")
+    return R.top(named(content, "content").unionByName(named(label, "label")), 50, "query_id", "facet")
 
 
 def q_bm25(spark, d):
-    return R.top(R.bm25(table(spark, d, "documents").select("doc_id", "text"), probes(spark, d)), 10, "query_id")
+    return R.bm25(table(spark, d, "documents").select("doc_id", "text"), probes(spark, d), 10)
 
 
 def q_knn(spark, d):
@@ -59,9 +62,8 @@ def q_knn(spark, d):
 
 
 def q_mutual(spark, d):
-    near = facets(spark, d).where("facet = 'content' and rank <= 50").select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst"), "score")
-    back = near.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return near.join(back, ["src", "dst"])
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return R.mutual(v, 8, FARTHEST)
 
 
 def q_session_edges(spark, d):
@@ -185,7 +187,9 @@ def oracle_sql():
     return {
         "bm25_top10": f"WITH {BM25} SELECT * FROM hits",
         "knn_top10": f"WITH {FACETS} SELECT query_id, doc_id, score, rank FROM lists WHERE facet = 'content' AND rank <= 10",
-        "mutual_knn_edges": f"WITH {FACETS}, near AS (SELECT query_id AS src, doc_id AS dst, score FROM lists WHERE facet = 'content') SELECT a.* FROM near a JOIN near b ON a.src = b.dst AND a.dst = b.src",
+        "mutual_knn_edges": f"""WITH d AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 6) AS dist
+            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM d) WHERE r <= 8 AND dist <= {FARTHEST})
+            SELECT a.src, a.dst, round(0.8::DOUBLE * greatest(0.0::DOUBLE, 1 - a.dist / 2), 4) AS weight FROM n a JOIN n b ON a.src = b.dst AND a.dst = b.src""",
         "rrf_fusion": f"WITH {FACETS} " + RRF.format(b=0.0),
         "rrf_combmax": f"WITH {FACETS} " + RRF.format(b=2.361),
         "abstain_confidence": f"""WITH {FACETS}, c AS (SELECT query_id, facet, round(CASE WHEN count(*) < 3 THEN 1.0::DOUBLE WHEN max(score) - min(score) <= 0 THEN 0.0::DOUBLE
