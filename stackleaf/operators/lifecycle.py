@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .library import gap_sessions
-
 #: Verdicts that let a bookmark go cold; shares of a boost and its ceiling; seconds between retries in the queue.
 DEAD = ("gone", "drifted", "soft_gone")
 W_WINDOW, W_SESSION, W_FOLDER, MAX_BOOST = 0.50, 0.25, 0.15, 1.60
@@ -82,17 +80,3 @@ def calibration(rows: DataFrame, key: str, folder: str, grid: tuple[int, ...]) -
     some = lambda c: F.sum(F.when(F.col("n") >= 2, c).otherwise(0))
     totals = per.groupBy("eps").agg(F.count_if(F.col("n") >= 2).alias("sessions"), F.round(some(F.col("n")) / F.sum("n"), 9).alias("coverage"), some(F.col("same")).alias("s"), some(pairs("n")).alias("p"))
     return totals.select("eps", "sessions", "coverage", F.round(F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0), 9).alias("purity"))
-
-
-def context_boosts(saves: DataFrame, key: str, eps: int, anchors: int = 10, confidence: float = 0.6) -> DataFrame:
-    """(id, boost) of saves (id, key, ts, score): each key's best-scored saves are its anchors; saves in the span of the anchors' times (P10 to
-    P90) and in an anchor's session rise."""
-    runs = gap_sessions(saves, key, eps)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "id"))
-    chosen = runs.withColumn("r", rank).where(F.col("r") <= anchors)
-    span = chosen.groupBy(key).agg(F.percentile("ts", F.array(F.lit(0.1), F.lit(0.9))).alias("p"), F.count("*").alias("n"))
-    lo, hi = F.floor(F.col("p")[0]), F.floor(F.col("p")[1])
-    span = span.select(key, F.when(F.col("n") >= 2, F.when(lo == hi, lo - 1800).otherwise(lo)).alias("lo"), F.when(F.col("n") >= 2, F.when(lo == hi, hi + 1800).otherwise(hi)).alias("hi"))
-    peers = chosen.groupBy(key, "run").agg(F.max(1.0 / (1.0 + 0.2 * (F.col("r") - 1))).alias("strength"))
-    met = runs.join(span, key).join(peers, [key, "run"], "left")
-    return met.select("id", boost(F.coalesce(F.col("ts").between(F.col("lo"), F.col("hi")), F.lit(False)), F.col("strength"), F.lit(0.0), confidence).alias("boost"))

@@ -50,8 +50,10 @@ def q_similarity(spark, d):
 
 
 def q_understand(spark, d):
-    found = U.labels(F.col("text"), NOW)
-    return table(spark, d, "conversations").select("conv_id", "turn", *(v.alias(k) for k, v in found.items()))
+    aside = F.element_at(F.array(*map(F.lit, ASIDES)), (F.pmod("conv_id", F.lit(len(ASIDES))) + 1).cast("int"))
+    said = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") == 0, F.concat(said, F.lit(" "), aside)).otherwise(said).alias("text"))
+    return rows.select("conv_id", "turn", *(v.alias(k) for k, v in U.labels(F.col("text"), NOW).items()))
 
 
 def bookmarks(spark, d):
@@ -60,13 +62,17 @@ def bookmarks(spark, d):
     return opens.join(L.latest(h).select("bookmark_id", "verdict"), "bookmark_id", "left")
 
 
-def q_cold(spark, d):
-    return Y.cold_flags(bookmarks(spark, d), NOW - 20 * 86400).where("cold").select("bookmark_id", "verdict")
+def cold_layer(spark, d):
+    """The whole predicate: unopened, old, and dead or superseded."""
+    return Y.cold_flags(bookmarks(spark, d), NOW - 20 * 86400, q_supersession(spark, d))
 
 
 def q_census(spark, d):
-    flags = ("unopened", "old", "dead", "cold")
-    return Y.cold_flags(bookmarks(spark, d), NOW - 20 * 86400).agg(F.count("*").alias("n"), *(F.count_if(f).alias(f) for f in flags))
+    """Each condition by itself, their conjunction, and how many of the cold could be shown."""
+    flags = ("unopened", "old", "dead", "superseded", "cold")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("bookmark_id"), (F.coalesce(F.length("text"), F.lit(0)) >= 200).alias("body"))
+    rows = cold_layer(spark, d).join(docs, "bookmark_id", "left")
+    return rows.agg(F.count("*").alias("n"), *(F.count_if(f).alias(f) for f in flags), F.count_if(F.col("cold") & F.coalesce("body", F.lit(False))).alias("servable"))
 
 
 def q_decay(spark, d):
@@ -86,11 +92,6 @@ def q_queue(spark, d):
     return Y.lease(queue, 1705000000, 50).select("id", "state", "attempts")
 
 
-def q_boosts(spark, d):
-    scored = saves(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("score")), "id")
-    return Y.context_boosts(scored, "user_id", 7200)
-
-
 def q_calibration(spark, d):
     rows = saves(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("folder")), "id")
     return Y.calibration(rows, "user_id", "folder", GRID)
@@ -125,8 +126,7 @@ def q_bootstrap(spark, d):
 
 
 def q_cold_whole(spark, d):
-    flags = Y.cold_flags(bookmarks(spark, d), NOW - 20 * 86400, q_supersession(spark, d))
-    return flags.where("cold").select("bookmark_id", "verdict", "superseded")
+    return cold_layer(spark, d).where("cold").select("bookmark_id", "verdict", "superseded")
 
 
 def q_bonus(spark, d):
@@ -140,7 +140,7 @@ def q_pages(spark, d):
 
 
 def q_supersession(spark, d):
-    title = F.substring(F.coalesce("text", F.lit("")), 1, 80)
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
     return K.supersession_edges(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("domain"), title.alias("title"), (F.col("doc_id") * 40_000).alias("date")))
 
 
@@ -158,7 +158,7 @@ def q_intents(spark, d):
 def q_diff(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.sha2(urls.normalize(F.col("url")), 256).alias("url_hash"), C.html_title(F.col("html")).alias("title"))
     one = lambda p: p.groupBy("url_hash").agg(F.min_by("title", "page_id").alias("title"))
-    return K.library_diff(one(pages.where("page_id % 3 <> 0")), one(pages.where("page_id % 2 = 0")), "url_hash", ("title",))
+    return K.library_diff(one(pages.where("page_id % 3 <> 0")), one(pages.where("page_id % 2 = 0 or page_id % 3 = 0")), "url_hash", ("title",))
 
 
 def queries():
@@ -169,13 +169,11 @@ def queries():
         "body_hash_dups": q_body,
         "drift_similarity": q_similarity,
         "understand_labels": q_understand,
-        "cold_set": q_cold,
+        "cold_set": q_cold_whole,
         "cold_census": q_census,
-        "cold_set_superseded": q_cold_whole,
         "decay_rerank": q_decay,
         "backoff_schedule": q_backoff,
         "queue_lease": q_queue,
-        "context_boost": q_boosts,
         "eps_calibration_purity": q_calibration,
         "timestamp_unit_vote": q_units,
         "stale_fingerprints": q_stale,
@@ -224,8 +222,20 @@ def n_ago(group: int) -> str:
 
 
 RELATIVE = " ".join(f"WHEN regexp_matches(low, {quoted(p)}) THEN {{'rule': 'relative', 'lo': {NOW - a * 86400}::BIGINT, 'hi': {int(NOW - z * 86400)}::BIGINT}}" for p, a, z in U.RELATIVE)
-UNDERSTAND = f"""t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS t, lower(trim(coalesce(text, ''))) AS low FROM conversations),
-    n AS (SELECT *, CASE {n_ago(2)} {" ".join(f"WHEN '{k}' THEN {v}" for k, v in U.UNITS.items())} END * 86400 AS unit, greatest(coalesce(try_cast({n_ago(1)} AS INTEGER), CASE {n_ago(1)} {" ".join(f"WHEN '{k}' THEN {v}" for k, v in U.COUNTS.items())} END, 1), 1) AS c,
+COUNT = n_ago(1)
+
+
+def digit(x: str, empty: int) -> str:
+    return f"CASE {x} WHEN '' THEN {empty} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in U.NUMERALS.items())} END"
+
+
+NUMERAL = f"CASE WHEN contains({COUNT}, '{U.TEN}') THEN ({digit(f"split_part({COUNT}, '{U.TEN}', 1)", 1)}) * 10 + ({digit(f"substr({COUNT}, instr({COUNT}, '{U.TEN}') + 1)", 0)}) ELSE CASE {COUNT} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in U.NUMERALS.items())} END END"
+
+
+def understand(rows: str) -> str:
+    """The rules over rows with their text t and its lower case, low."""
+    return f"""t AS ({rows}),
+    n AS (SELECT *, CASE {n_ago(2)} {" ".join(f"WHEN '{k}' THEN {v}" for k, v in U.UNITS.items())} END * 86400 AS unit, greatest(coalesce(try_cast({n_ago(1)} AS INTEGER), CASE {n_ago(1)} {" ".join(f"WHEN '{k}' THEN {v}" for k, v in U.COUNTS.items())} END, {NUMERAL}, 1), 1) AS c,
         try_cast(regexp_extract(t, {quoted(U.YEAR)}, 1) AS INTEGER) AS y FROM t),
     w AS (SELECT *, CASE WHEN regexp_matches(low, {quoted(U.AGO)}) THEN {{'rule': 'n_ago', 'lo': ({NOW} - c * unit - greatest(unit // 2, 86400))::BIGINT, 'hi': least({NOW} - c * unit + greatest(unit // 2, 86400), {NOW})::BIGINT}} {RELATIVE}
         WHEN y IS NOT NULL THEN {{'rule': 'absolute_year', 'lo': date_diff('day', DATE '1970-01-01', make_date(y, 1, 1)) * 86400, 'hi': date_diff('day', DATE '1970-01-01', make_date(y + 1, 1, 1)) * 86400}} END AS win,
@@ -233,6 +243,11 @@ UNDERSTAND = f"""t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS t, lowe
     f AS (SELECT *, regexp_matches(t, {quoted(U.QUOTED)}) OR regexp_matches(t, {quoted(U.IDENTIFIER)}) OR isurl AS lexical, isurl OR regexp_matches(t, {quoted(U.DOMAIN)}) AS navigational, win IS NOT NULL OR vague AS episodic FROM w)"""
 
 
+ASIDES = ("三个月前 存的", "3天前", "十二周前看的", "a couple of weeks ago", 'the "exact words" and "more of it"', "去年", "两年前的 CamelCase", "二十一天前 example.com")
+SPOKEN = f"CASE WHEN turn = 0 THEN coalesce(text, '') || ' ' || ([{', '.join(quoted(x) for x in ASIDES)}])[(conv_id % {len(ASIDES)} + 1)::BIGINT] ELSE coalesce(text, '') END"
+UNDERSTAND = understand(f"SELECT conv_id, turn, trim(x) AS t, lower(trim(x)) AS low FROM (SELECT conv_id, turn, {SPOKEN} AS x FROM conversations)")
+
+
 def oracle_sql():
     sql = {
         "url_normalize": f"WITH {ADDRESSES} SELECT page_id, url_norm, sha256(url_norm) AS url_hash, kept_fragment, indexable FROM addresses",
@@ -243,9 +258,9 @@ def oracle_sql():
             SELECT doc_id, round(CASE WHEN n - i = 0 THEN 1.0::DOUBLE ELSE i::DOUBLE / (n - i) END, 4) AS similarity FROM m""",
         "understand_labels": f"""WITH {UNDERSTAND} SELECT conv_id, turn, lexical, navigational, episodic, t <> '' AND NOT (navigational AND NOT lexical AND NOT episodic) AS semantic, win.rule AS time_rule, win.lo AS lo, win.hi AS hi,
             CASE WHEN win IS NOT NULL THEN 1.0::DOUBLE WHEN vague THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
-            episodic AND (coalesce(win.rule, '') <> 'absolute_year' OR vague OR regexp_matches(low, {quoted("|".join(U.SAVING))})) AS gate FROM f""",
-        "cold_set": f"WITH {BOOKMARKS} SELECT bookmark_id, verdict FROM flags WHERE unopened AND old AND dead",
-        "cold_census": f"WITH {BOOKMARKS} SELECT count(*) AS n, count(*) FILTER (unopened) AS unopened, count(*) FILTER (old) AS old, count(*) FILTER (dead) AS dead, count(*) FILTER (unopened AND old AND dead) AS cold FROM flags",
+            episodic AND (coalesce(win.rule, '') <> 'absolute_year' OR vague OR regexp_matches(low, {quoted("|".join(U.SAVING))})) AS gate,
+            array_to_string(list_transform(regexp_extract_all(t, {quoted(U.QUOTED)}, 1), lambda p: trim(p, ' ')), '|') AS phrases, array_to_string(list_filter([CASE WHEN regexp_matches(t, {quoted(U.QUOTED)}) THEN 'quoted' END, CASE WHEN regexp_matches(t, {quoted(U.IDENTIFIER)}) THEN 'identifier' END,
+            CASE WHEN isurl THEN 'url' WHEN regexp_matches(t, {quoted(U.DOMAIN)}) THEN 'domain' END, 'time:' || win.rule, CASE WHEN vague THEN 'episodic_marker' END], lambda x: x IS NOT NULL), ',') AS rules FROM f""",
         "decay_rerank": f"""WITH {FACETS}, fused AS (SELECT query_id, doc_id, round(sum(CASE facet WHEN 'content' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END / (60 + rank)), 9) AS score FROM lists GROUP BY ALL),
             j AS (SELECT *, coalesce(max(score) FILTER (doc_id % 3 <> 0) OVER (PARTITION BY query_id) < 0.02, true) AS rescued FROM fused)
             SELECT query_id, doc_id, round(CASE WHEN doc_id % 3 = 0 AND NOT rescued THEN score * 0.5::DOUBLE ELSE score END, 9) AS score, rescued FROM j""",
@@ -253,11 +268,6 @@ def oracle_sql():
             SELECT bookmark_id, count(*) AS failures, least(86400 * pow(2, least(count(*), 20) - 1), 2592000)::BIGINT AS retry_s FROM g WHERE good = 0 GROUP BY bookmark_id""",
         "queue_lease": f"""WITH {SAVES}, q AS (SELECT id, saves.ts AS ts, id % 3 AS attempts, CASE event_type WHEN 'click' THEN 'leased' WHEN 'error' THEN 'failed' ELSE 'pending' END AS state FROM saves JOIN events ON event_id = id)
             SELECT id, 'leased' AS state, attempts + 1 AS attempts FROM q WHERE (state = 'pending' OR (state = 'leased' AND ts < 1705000000 - 300)) AND (attempts = 0 OR ts + 600 <= 1705000000) ORDER BY ts, id LIMIT 50""",
-        "context_boost": f"""WITH {RUNS}, s AS (SELECT runs.*, row_number() OVER (PARTITION BY runs.user_id ORDER BY value DESC, id) AS r FROM runs JOIN events ON event_id = id),
-            p AS (SELECT user_id, count(*) AS n, floor(quantile_cont(ts, 0.1))::BIGINT AS lo, floor(quantile_cont(ts, 0.9))::BIGINT AS hi FROM s WHERE r <= 10 GROUP BY user_id),
-            w AS (SELECT user_id, n, CASE WHEN lo = hi THEN lo - 1800 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 1800 ELSE hi END AS hi FROM p),
-            k AS (SELECT user_id, run, max(1.0::DOUBLE / (1.0::DOUBLE + 0.2::DOUBLE * (r - 1))) AS strength FROM s WHERE r <= 10 GROUP BY user_id, run)
-            SELECT id, round(least(1.0::DOUBLE + CASE WHEN n >= 2 AND ts BETWEEN lo AND hi THEN 0.3::DOUBLE ELSE 0 END + 0.25::DOUBLE * coalesce(strength, 0), 1.6::DOUBLE), 9) AS boost FROM s JOIN w USING (user_id) LEFT JOIN k USING (user_id, run)""",
         "eps_calibration_purity": f"""WITH {SAVES}, g AS (SELECT saves.*, event_type AS folder, unnest({list(GRID)})::INTEGER AS eps FROM saves JOIN events ON event_id = id),
             m AS (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY eps, user_id ORDER BY ts, id) > eps)::INTEGER, 1) AS start FROM g),
             r AS (SELECT *, sum(start) OVER (PARTITION BY eps, user_id ORDER BY ts, id) AS run FROM m), c AS (SELECT eps, user_id, run, folder, count(*) AS c FROM r GROUP BY ALL),
@@ -277,7 +287,7 @@ def oracle_sql():
         "guarantee_bonus": "SELECT n_nationkey * 10 AS depth, round(CASE WHEN n_nationkey * 10 <= 1 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, (61 * 3.7::DOUBLE - (60 + n_nationkey * 10)) / (n_nationkey * 10 - 1)) END, 9) AS bonus FROM nation",
         "page_window": """WITH a AS (SELECT n_nationkey AS request, greatest(1, least(n_nationkey * 20 - 10, 200)) AS "limit", greatest(0, least(n_regionkey * 700, 1999)) AS "offset" FROM nation),
             w AS (SELECT *, greatest(50, "limit" + "offset") AS want FROM a) SELECT request, "limit", "offset", least(want, 2000) AS depth, want > 2000 AS ceiling_hit FROM w""",
-        "supersession_edges": """WITH w AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(trim(left(coalesce(text, ''), 80)), '[ \\t\\n\\r]+'), lambda x: length(x) > 1)) AS w FROM documents),
+        "supersession_edges": """WITH w AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(trim(split_part(coalesce(text, ''), chr(10), 1)), '[ \\t\\n\\r]+'), lambda x: length(x) > 1)) AS w FROM documents),
             m AS (SELECT a.doc_id AS src, b.doc_id AS dst, len(list_intersect(a.w, b.w))::DOUBLE AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.source = b.source AND b.doc_id - a.doc_id >= 3 AND len(a.w) > 0 AND len(b.w) > 0)
             SELECT src, dst, round(0.7::DOUBLE * (i / (n - i)), 4) AS weight FROM m WHERE i / (n - i) >= 0.8::DOUBLE""",
         "folder_peers": f"""WITH {HOSTS}, s AS (SELECT host FROM hosts WHERE host <> '' GROUP BY host HAVING count(*) <= 40),
@@ -286,11 +296,13 @@ def oracle_sql():
             k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r NULLS LAST, doc_id) AS place FROM p)
             SELECT CASE WHEN r IS NULL THEN 'not_found' WHEN r = 1 THEN '1' WHEN r <= 3 THEN '2-3' WHEN r <= 10 THEN '4-k' ELSE '>k' END AS bucket, count(*) AS n, count(*) FILTER (r <= 10 AND place <= 3) AS kept FROM k GROUP BY bucket""",
         "library_diff": f"""WITH {ADDRESSES}, t AS (SELECT page_id, sha256(url_norm) AS url_hash, {TITLE} AS title FROM addresses), a AS (SELECT url_hash, arg_min(title, page_id) AS title FROM t WHERE page_id % 3 <> 0 GROUP BY url_hash),
-            b AS (SELECT url_hash, arg_min(title, page_id) AS title FROM t WHERE page_id % 2 = 0 GROUP BY url_hash)
+            b AS (SELECT url_hash, arg_min(title, page_id) AS title FROM t WHERE page_id % 2 = 0 OR page_id % 3 = 0 GROUP BY url_hash)
             SELECT count(*) FILTER (a.url_hash IS NOT NULL AND b.url_hash IS NOT NULL) AS common, count(*) FILTER (b.url_hash IS NULL) AS only_first, count(*) FILTER (a.url_hash IS NULL) AS only_second,
                 count(*) FILTER (a.url_hash IS NOT NULL AND b.url_hash IS NOT NULL AND a.title IS NOT DISTINCT FROM b.title) AS same_title FROM a FULL JOIN b ON a.url_hash = b.url_hash""",
     }
     # Unopened and old, and dead or with an edge of the supersession query.
-    sql["cold_set_superseded"] = f"""WITH {BOOKMARKS}, newer AS ({sql["supersession_edges"]}), f AS (SELECT flags.*, bookmark_id IN (SELECT src FROM newer) AS superseded FROM flags)
-        SELECT bookmark_id, verdict, superseded FROM f WHERE unopened AND old AND (dead OR superseded)"""
+    layer = f"""{BOOKMARKS}, newer AS ({sql["supersession_edges"]}), f AS (SELECT flags.*, bookmark_id IN (SELECT src FROM newer) AS superseded FROM flags), layer AS (SELECT *, unopened AND old AND (coalesce(dead, false) OR superseded) AS cold FROM f)"""
+    sql["cold_set"] = f"WITH {layer} SELECT bookmark_id, verdict, superseded FROM layer WHERE cold"
+    sql["cold_census"] = f"""WITH {layer} SELECT count(*) AS n, count(*) FILTER (unopened) AS unopened, count(*) FILTER (old) AS old, count(*) FILTER (dead) AS dead, count(*) FILTER (superseded) AS superseded, count(*) FILTER (cold) AS cold,
+        count(*) FILTER (cold AND length(text) >= 200) AS servable FROM layer LEFT JOIN documents ON doc_id = bookmark_id"""
     return sql

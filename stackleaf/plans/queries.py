@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..operators import library as L
 from ..operators import ranking as R
+from ..operators import timeline as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +69,12 @@ def q_mutual(spark, d):
 
 def q_session_edges(spark, d):
     runs = L.gap_sessions(saves(spark, d), "user_id", 7200)
-    return L.group_edges(runs.select("user_id", "run", "id"), ["user_id", "run"], 30, 0.6)
+    return T.scaled_edges(runs.select("user_id", "run", "id"), ["user_id", "run"], 30, 1.0)
 
 
 def q_domain_edges(spark, d):
     pages = hosts(spark, d).select(C.registrable_domain(F.col("host")).alias("domain"), F.col("page_id").alias("id")).where("domain <> ''")
-    return L.group_edges(pages, ["domain"], 25, 0.3)
+    return L.group_edges(pages, ["domain"], 25, 0.15)
 
 
 def q_expand(spark, d):
@@ -84,13 +85,21 @@ def q_expand(spark, d):
 def q_upsert(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.sha2("url", 256).alias("url_hash"), C.html_title(F.col("html")).alias("title"), C.host_of(F.col("url")).alias("folder"))
     one = lambda p: p.groupBy("url_hash").agg(F.min_by("title", "page_id").alias("title"), F.min_by("folder", "page_id").alias("folder"), F.min("page_id").alias("date_added"))
-    return L.upsert(one(pages.where("page_id % 3 <> 0")), one(pages.where("page_id % 2 = 0").withColumn("folder", F.lit(" "))))
+    return L.upsert(one(pages.where("page_id % 3 <> 0")), one(pages.where("page_id % 2 = 0 or page_id % 3 = 0").withColumn("folder", F.lit(" "))))
+
+
+def targets(spark, d):
+    """The first document that holds a query's passage as it is; queries without one have no answer."""
+    items = table(spark, d, "benchmark").where("length(text) > 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.join(F.broadcast(items), F.contains("text", "passage")).groupBy("query_id").agg(F.min("doc_id").alias("target"))
 
 
 def q_recall(spark, d):
-    text = table(spark, d, "documents").select("doc_id", "lang")
-    found = q_bm25(spark, d).join(text, "doc_id").select("query_id", "lang", "rank")
-    return L.recall_table(found, "lang")
+    """How well words find the document that holds the query's passage, by its language; a query whose target isn't among ten has rank 0."""
+    lang = table(spark, d, "documents").select(F.col("doc_id").alias("target"), "lang")
+    found = q_bm25(spark, d).select("query_id", F.col("doc_id").alias("target"), "rank")
+    return L.recall_table(targets(spark, d).join(lang, "target").join(found, ["query_id", "target"], "left").select("query_id", "lang", F.coalesce("rank", F.lit(0)).alias("rank")), "lang")
 
 
 def q_holm(spark, d):
@@ -104,18 +113,6 @@ def q_anchor_window(spark, d):
     return w.select("user_id", F.floor(F.col("p")[0]).alias("lo"), F.floor(F.col("p")[1]).alias("hi"))
 
 
-def q_bursts(spark, d):
-    per = Window.partitionBy(F.expr("ts div 600"))
-    return saves(spark, d).withColumn("n", F.count("*").over(per)).where("n > 3").select("id", "n")
-
-
-def q_stats(spark, d):
-    e, p = table(spark, d, "events"), hosts(spark, d)
-    a = e.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type") == "click").alias("clicks"))
-    b = p.agg(F.count("*").alias("pages"), F.countDistinct("host").alias("hosts"))
-    return a.join(b)  # one row each
-
-
 def q_host_politeness(spark, d):
     per = hosts(spark, d).groupBy("host").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("hosts"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("busiest"), (F.max("n") * F.lit(0.5)).alias("seconds"))
@@ -136,15 +133,13 @@ def queries():
         "session_edges": q_session_edges,
         "domain_edges": q_domain_edges,
         "expand_one_hop": q_expand,
-        "import_bursts": q_bursts,
-        "import_burst_windows": lambda s, d: L.bursts(saves(s, d)),
+        "import_bursts": lambda s, d: L.bursts(saves(s, d)),
         "anchor_window": q_anchor_window,
         "failure_runs": lambda s, d: L.failure_runs(health(s, d)),
         "confirmed_gone": lambda s, d: L.confirmed_gone(health(s, d)),
         "upsert_merge": q_upsert,
         "recall_mrr_by_type": q_recall,
         "holm": q_holm,
-        "library_stats": q_stats,
         "host_politeness": q_host_politeness,
         "registrable_domain": lambda s, d: hosts(s, d).withColumn("domain", C.registrable_domain(F.col("host"))),
         "html_title": lambda s, d: table(s, d, "pages").select("page_id", C.html_title(F.col("html")).alias("title")),
@@ -172,7 +167,9 @@ FACETS = """met AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label = q
     lists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, facet ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored) WHERE rank <= 50)"""
 EDGES = """small AS (SELECT {g} FROM members GROUP BY {g} HAVING count(*) BETWEEN 2 AND {m}), own AS (SELECT members.* FROM members JOIN small USING ({g})),
     edges AS (SELECT DISTINCT a.id AS src, b.id AS dst, {w}::DOUBLE AS weight FROM own a JOIN own b USING ({g}) WHERE a.id <> b.id)"""
-SESSION_EDGES = RUNS + ", members AS (SELECT user_id, run, id FROM runs), " + EDGES.format(g="user_id, run", m=30, w=0.6)
+SESSION_EDGES = f"""{RUNS}, members AS (SELECT user_id, run, id, count(*) OVER (PARTITION BY user_id, run) AS n FROM runs),
+    edges AS (SELECT a.id AS src, b.id AS dst, max(round(least(1.0::DOUBLE, sqrt(2.0::DOUBLE / a.n)), 4)) AS weight FROM members a JOIN members b USING (user_id, run) WHERE a.id <> b.id AND a.n BETWEEN 2 AND 30 GROUP BY ALL)"""
+TARGETS = "targets AS MATERIALIZED (SELECT item_id AS query_id, min(doc_id) AS target FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text) GROUP BY item_id)"
 WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 BM25 = f"""words AS (SELECT doc_id, {WORDS} AS w FROM documents), flat AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM words),
     posted AS (SELECT doc_id, dl, term, count(*) AS tf FROM flat GROUP BY ALL), df AS (SELECT term, count(*)::DOUBLE AS df FROM posted GROUP BY term),
@@ -204,13 +201,12 @@ def oracle_sql():
         "gap_sessions": f"WITH {RUNS} SELECT * FROM runs",
         "session_rows": f"WITH {RUNS} SELECT user_id, run, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS size FROM runs GROUP BY ALL HAVING count(*) >= 2",
         "session_edges": f"WITH {SESSION_EDGES} SELECT * FROM edges",
-        "domain_edges": f"WITH {DOMAINS}, members AS (SELECT domain, page_id AS id FROM domains WHERE domain <> ''), {EDGES.format(g='domain', m=25, w=0.3)} SELECT * FROM edges",
+        "domain_edges": f"WITH {DOMAINS}, members AS (SELECT domain, page_id AS id FROM domains WHERE domain <> ''), {EDGES.format(g='domain', m=25, w=0.15)} SELECT * FROM edges",
         "expand_one_hop": f"""WITH {SESSION_EDGES}, seeds AS (SELECT id, 1.0::DOUBLE / (1.0::DOUBLE + id % 10) AS score FROM saves WHERE id % 97 = 0),
             o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM edges),
             p AS (SELECT dst, src, 0.5::DOUBLE * score * weight AS s FROM o JOIN seeds ON o.src = seeds.id WHERE r <= 20 AND dst NOT IN (SELECT id FROM seeds)),
             b AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY s DESC, src) AS k FROM p) SELECT dst AS doc_id, round(s, 9) AS score, src AS via FROM b WHERE k = 1""",
-        "import_bursts": f"WITH {SAVES} SELECT id, n FROM (SELECT id, count(*) OVER (PARTITION BY ts // 600) AS n FROM saves) WHERE n > 3",
-        "import_burst_windows": f"""WITH {SAVES}, w AS (SELECT *, count(*) OVER (ORDER BY ts RANGE BETWEEN CURRENT ROW AND 599 FOLLOWING) AS c FROM saves),
+        "import_bursts": f"""WITH {SAVES}, w AS (SELECT *, count(*) OVER (ORDER BY ts RANGE BETWEEN CURRENT ROW AND 599 FOLLOWING) AS c FROM saves),
             m AS (SELECT id, max(c) FILTER (c > 3) OVER (ORDER BY ts RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS n FROM w) SELECT id, n FROM m WHERE n IS NOT NULL""",
         "anchor_window": f"WITH {SAVES} SELECT user_id, floor(quantile_cont(ts, 0.1))::BIGINT AS lo, floor(quantile_cont(ts, 0.9))::BIGINT AS hi FROM saves GROUP BY user_id HAVING count(*) >= 2",
         "failure_runs": f"""WITH {HEALTH}, g AS (SELECT *, sum((verdict NOT IN ('gone', 'unreachable'))::INTEGER) OVER (PARTITION BY bookmark_id ORDER BY checked_at DESC, id DESC) AS good FROM log)
@@ -218,13 +214,13 @@ def oracle_sql():
         "confirmed_gone": f"WITH {HEALTH} SELECT bookmark_id, count(*) AS checks FROM log WHERE verdict = 'gone' AND confidence >= 0.75 GROUP BY bookmark_id HAVING count(*) >= 2 AND max(checked_at) - min(checked_at) >= 604800",
         "upsert_merge": f"""WITH {HOSTS}, t AS (SELECT page_id, sha256(url) AS url_hash, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\n\\r]+', ' ', 'g')) AS title, host AS folder FROM pages JOIN hosts USING (page_id)),
             o AS (SELECT url_hash, arg_min(title, page_id) AS title, arg_min(folder, page_id) AS folder, min(page_id) AS date_added FROM t WHERE page_id % 3 <> 0 GROUP BY url_hash),
-            n AS (SELECT url_hash, arg_min(title, page_id) AS title, '' AS folder, min(page_id) AS date_added FROM t WHERE page_id % 2 = 0 GROUP BY url_hash)
+            n AS (SELECT url_hash, arg_min(title, page_id) AS title, '' AS folder, min(page_id) AS date_added FROM t WHERE page_id % 2 = 0 OR page_id % 3 = 0 GROUP BY url_hash)
             SELECT url_hash, coalesce(nullif(n.title, ''), o.title, '') AS title, coalesce(nullif(n.folder, ''), o.folder, '') AS folder, least(o.date_added, n.date_added) AS date_added FROM o FULL JOIN n USING (url_hash)""",
-        "recall_mrr_by_type": f"""WITH {BM25} SELECT lang, count(*) AS n, round(avg((rank <= 1)::INTEGER), 9) AS recall_1, round(avg((rank <= 5)::INTEGER), 9) AS recall_5, round(avg((rank <= 10)::INTEGER), 9) AS recall_10, round(avg(1.0::DOUBLE / rank), 9) AS mrr_10
-            FROM hits JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)""",
+        "recall_mrr_by_type": f"""WITH {BM25}, {TARGETS}, o AS (SELECT lang, coalesce(rank, 0) AS rank FROM targets t JOIN documents d ON d.doc_id = target LEFT JOIN hits h ON h.query_id = t.query_id AND h.doc_id = target)
+            SELECT lang, count(*) AS n, round(avg((rank = 1)::INTEGER), 9) AS recall_1, round(avg((rank BETWEEN 1 AND 5)::INTEGER), 9) AS recall_5, round(avg((rank BETWEEN 1 AND 10)::INTEGER), 9) AS recall_10, round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0.0 END), 9) AS mrr_10
+            FROM o GROUP BY ROLLUP (lang)""",
         "holm": """WITH t AS (SELECT n_name AS name, n_nationkey * n_nationkey * 0.0004::DOUBLE + 0.0005::DOUBLE AS p FROM nation),
             f AS (SELECT *, (p <= 0.05::DOUBLE / (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1))::INTEGER AS fine FROM t) SELECT name, p, min(fine) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM f""",
-        "library_stats": f"WITH {HOSTS} SELECT * FROM (SELECT count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'click') AS clicks FROM events), (SELECT count(*) AS pages, count(DISTINCT host) AS hosts FROM hosts)",
         "host_politeness": f"WITH {HOSTS}, n AS (SELECT host, count(*) AS n FROM hosts GROUP BY host) SELECT count(*) AS hosts, count(*) FILTER (n = 1) AS singletons, max(n) AS busiest, max(n) * 0.5::DOUBLE AS seconds FROM n",
         "registrable_domain": f"WITH {DOMAINS} SELECT page_id, host, domain FROM domains",
         "html_title": "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\n\\r]+', ' ', 'g')) AS title FROM pages",

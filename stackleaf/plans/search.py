@@ -13,8 +13,8 @@ from ..operators import search as S
 from ..operators import timeline as T
 from . import more, sessions, texts
 from .checks import pick
-from .more import NOW, UNDERSTAND
-from .queries import table
+from .more import NOW
+from .queries import TARGETS, table, targets
 from .sessions import EPS, GROUPED, edges_sql
 from .texts import SPLIT, bookmarks, cjk, segment
 
@@ -122,13 +122,6 @@ def q_window(spark, d):
     return met.withColumn("place", place).where("place <= 50").select("query_id", "doc_id", "place")
 
 
-def targets(spark, d):
-    """The first document that holds a query's passage as it is; queries without one have no answer."""
-    items = table(spark, d, "benchmark").where("length(text) > 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(items), F.contains("text", "passage")).groupBy("query_id").agg(F.min("doc_id").alias("target"))
-
-
 def outcomes(spark, d):
     """(config, query_id, qtype, rank) for each rung and query with a target; rank 0: not on the page."""
     goal = asked(spark, d).join(targets(spark, d), "query_id").select("query_id", "qtype", "target")
@@ -292,7 +285,7 @@ def lists_sql(k: int = S.DEPTH, facets=S.ALL) -> str:
     return ", ".join([*parts, f"lists AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, facet ORDER BY score DESC, doc_id)::INTEGER AS rank FROM ({union})) WHERE rank <= {k})"])
 
 
-UNDERSTOOD = UNDERSTAND.replace("SELECT conv_id, turn, trim(coalesce(text, '')) AS t, lower(trim(coalesce(text, ''))) AS low FROM conversations", "SELECT query_id, qtype, trim(text) AS t, lower(trim(text)) AS low FROM asked")
+UNDERSTOOD = more.understand("SELECT query_id, qtype, trim(text) AS t, lower(trim(text)) AS low FROM asked")
 LABELS = f"""{UNDERSTOOD}, und AS MATERIALIZED (SELECT query_id, qtype, win.lo AS lo, win.hi AS hi, win.rule AS rule, CASE WHEN win IS NOT NULL THEN 1.0::DOUBLE WHEN vague THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence, episodic,
     episodic AND (coalesce(win.rule, '') <> 'absolute_year' OR vague OR regexp_matches(low, {more.quoted("|".join(U.SAVING))})) AS gate FROM f)"""
 PLACES = "places AS MATERIALIZED (SELECT id AS doc_id, date_added AS ts, coalesce(session, -1) AS session, coalesce(host, '') AS folder FROM marks LEFT JOIN (SELECT id, session FROM grouped) USING (id))"
@@ -337,14 +330,13 @@ def config_sql(c: S.Config, out: str) -> list[str]:
 
 
 def with_configs(names, facets=S.ALL, k: int = S.DEPTH) -> str:
-    cold_ = more.oracle_sql()["cold_set_superseded"]
+    cold_ = more.oracle_sql()["cold_set"]
     parts = [lists_sql(k, facets), LABELS, PLACES, f"cold AS MATERIALIZED ({cold_})"]
     for n in names:
         parts += config_sql(S.CONFIGS[n], f"c_{n}")
     return ", ".join(parts)
 
 
-TARGETS = "targets AS MATERIALIZED (SELECT item_id AS query_id, min(doc_id) AS target FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text) GROUP BY item_id)"
 OUTCOMES = ", outcomes AS (" + " UNION ALL ".join(f"SELECT '{n}' AS config, {i} AS number, a.query_id, qtype, coalesce(place, 0) AS rank FROM targets t JOIN asked a USING (query_id) LEFT JOIN c_{n} h ON h.query_id = t.query_id AND h.doc_id = t.target" for i, n in enumerate(LADDER)) + ")"
 MEASURES = "count(*) AS n, " + ", ".join(f"round(avg((rank BETWEEN 1 AND {k})::INTEGER), 9) AS recall_{k}" for k in (1, 5, 10)) + ", round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0.0 END), 9) AS mrr_10"
 
