@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("queries", "more", "checks", "texts", "sessions", "search", "stores")
+FAMILIES = ("queries", "more", "checks", "texts", "sessions", "search", "stores", "reports")
 
 
 def _all(what: str) -> dict:
