@@ -18,9 +18,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share, which the session names in spark.checkpoint.dir. Only a local session, whose tasks run on this machine, gets a
+    temporary one where none is named; on a cluster that would lose data, so it is an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stackleaf-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -253,7 +253,8 @@ def _cut_by_hits(least: int):
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, broadcast_bytes: int = 32 << 20, salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` with the kept text in place of the text, and kept_sha256, n_lines, n_dropped."""
+    """The rows of ``docs`` with the kept text in place of the text, and kept_sha256, n_lines, n_dropped; underscores follow an added name that a column of
+    ``docs`` has."""
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"x{k}") for k, c in enumerate(others)))
@@ -268,4 +269,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hits = _routed(narrow, built, shards, least, salts)
         out = named.join(hits, "id", "left").mapInArrow(_cut_by_hits(least), schema)
     back = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(f"x{k}") for k, c in enumerate(others)}
-    return out.select(*(back[c].alias(c) for c in docs.columns), *(F.col(c) for c in ("kept_sha256", "n_lines", "n_dropped") if c not in docs.columns))
+    added, taken = [], set(docs.columns)
+    for c in ("kept_sha256", "n_lines", "n_dropped"):
+        name = c
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        added.append(F.col(c).alias(name))
+    return out.select(*(back[c].alias(c) for c in docs.columns), *added)

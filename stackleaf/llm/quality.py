@@ -9,7 +9,7 @@ out-of-fold scores, as counts in 4,096 bins, give the isotonic calibration by po
 Training takes at most about ``max_rows`` labelled rows (default 200,000), chosen by a hash of the id; every row is scored.
 
 Defined results: null and empty texts have the statistics of an empty text and a score like any other; rows that repeat an id count as often
-as they are there, and of several labels for an id the smallest counts; null ids can't be labelled but are scored; without
+as they are there, and of several labels for an id the smallest counts; null ids can't be labelled (nor held out) but are scored; without
 labels of both kinds the score is the labels' mean, or 0.5 without labels; an empty table gives no rows.
 """
 

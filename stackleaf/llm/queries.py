@@ -65,7 +65,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(quality.held_out(F.col("doc_id"), 5) != 0)
     stats = quality.measure(table(spark, sf_dir, "documents"))
     scored = quality.score(stats, quality.fit(stats, labels))
-    return scored.select(F.col("id").alias("doc_id"), (quality.held_out(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(quality.held_out(F.col("id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

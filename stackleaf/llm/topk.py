@@ -6,7 +6,7 @@ queries at once: a query enters a node only if the node's upper bound, <q, centr
 score, and of two children the one with the higher bounds comes first. The current k-th score is shared: a block first searches one shard, the one it was
 dealt; the k-th scores found there are written and start the search of all other shards.
 
-Sums of whole numbers in float64 are exact (64 products of 9 bits), so scores are exact; bounds get a margin for the rounding of centre and radius.
+Sums of whole numbers in float64 are exact below 2^53, so scores are exact; larger components are refused. Bounds get a margin for the rounding of centre and radius.
 
 Defined results: a vector that is null, empty or holds null or non-finite components takes no part, nor does one with a null id; a shorter vector is as if
 filled with zeros; ties go to the smaller id; rows that repeat an id are candidates each (a query never gets its own id) and
@@ -115,6 +115,8 @@ def _packed(key: str) -> callable:
             m = np.zeros((len(rows), dims), dtype=np.int64)
             for k, v in enumerate(rows):
                 m[k, : len(v)] = v
+            if float(np.abs(m).max(initial=0)) ** 2 * dims >= 2**53:
+                raise ValueError("components are too large for exact inner products: dimensions times the square of floor(256 x) must stay below 2^53")
             small = m.astype(np.int16) if np.abs(m).max() < 2**15 else m
             return pa.record_batch([pa.array([held[0].column(key)[0].as_py()], pa.int32()), pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), pa.array([small.tobytes()], pa.binary()), pa.array([dims], pa.int32())], [key, "ids", "vectors", "dims"])
 

@@ -75,6 +75,7 @@ def test_lines(docs, limit):
         lines = raw(texts()[r.doc_id]).split(b"\n")
         kept = [x for x in lines if len(key(x).decode()) < 10 or holders[key(x)][0] == r.doc_id]
         assert (r.text.encode(), r.n_lines, r.n_dropped) == (b"\n".join(kept), len(lines), len(lines) - len(kept))
+        assert (r.kept_sha256, r.kept_sha256_) == ("clash", hashlib.sha256(b"\n".join(kept)).hexdigest())
 
 
 def test_mixing(docs):
