@@ -263,12 +263,11 @@ def _shipped(span: int, bits: int, filter_bytes):
     """kind 0: contexts for the shards; kind 1: covered runs known here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(filter_bytes.value, dtype=np.int64)
+        words = None if filter_bytes is None else np.frombuffer(filter_bytes.value, dtype=np.int64)
         for b in pieces(batches):
             texts, ids, hashes, bases = as_bytes(b.column("text")), *(b.column(c).to_pylist() for c in ("id", "th", "base"))
             text, lo, hi, anchor, h = runs(texts, span)
-            at = _positions(h, bits)
-            hit = np.flatnonzero(np.all((words[at >> 6] >> (at & 63)) & 1, axis=1))
+            hit = np.arange(len(h)) if words is None else np.flatnonzero(_hit(words, bits, h))
             groups: dict[tuple[int, bytes], list[tuple]] = {}
             for k in hit.tolist():
                 t, a, z = int(text[k]), int(lo[k]), int(hi[k]) + span
@@ -486,10 +485,17 @@ def _known(keys: DataFrame, most_bits: int):
     return keys.sparkSession.sparkContext.broadcast(bitmap.tobytes()), bits
 
 
-def covered(rows: DataFrame, span: int, filter_bits: int, batch_bytes: int, hot: int) -> DataFrame:
-    """(id, th, spans), written: the runs of bytes of the texts (id, th, base, text) that repeated strings of ``span`` bytes cover; ``base`` is added to positions."""
+def covered(rows: DataFrame, span: int, filter_bits: int | None, batch_bytes: int, hot: int) -> DataFrame:
+    """(id, th, spans), written: the runs of bytes of the texts (id, th, base, text) that repeated strings of ``span`` bytes cover; ``base`` is added to positions.
+    Without ``filter_bits`` k-grams aren't counted first, and all contexts go to their shards."""
+    if filter_bits is None:
+        return _covered(rows, span, None, 0, batch_bytes, hot)
     counted = rows.select("text").mapInArrow(_counted(span), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     known, bits = _known(materialize(counted.select("h"), "suffix-kgrams"), filter_bits)
+    return _covered(rows, span, known, bits, batch_bytes, hot)
+
+
+def _covered(rows: DataFrame, span: int, known, bits: int, batch_bytes: int, hot: int) -> DataFrame:
     shipped = materialize(rows.mapInArrow(_shipped(span, bits, known), SHIPPED), "suffix-contexts")
     found = _repeats(shipped.where("kind = 0"), span, hot, batch_bytes).unionByName(shipped.where("kind = 1").select("id", "th", "lo", "hi"))
     return materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
@@ -544,6 +550,6 @@ def remove_repeats(
     if passage == span:
         gone = passages
     else:
-        gone = covered(met.where("passages is not null").mapInArrow(cut, "id long, th long, base int, text binary"), span, filter_bits, batch_bytes, hot)
+        gone = covered(met.where("passages is not null").mapInArrow(cut, "id long, th long, base int, text binary"), span, None, batch_bytes, hot)  # nearly all k-grams there repeat
     done = _with(met, gone, "gone", "left").select("id", "text", "gone", "passages").mapInArrow(finish, RESULT)
     return done.unionByName(rows.mapInArrow(calm, RESULT))
