@@ -329,7 +329,7 @@ def _marked(contexts: DataFrame, keys: DataFrame) -> DataFrame:
     return met.withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
-def _repeats(contexts: DataFrame, span: int, hot: int, batch_bytes: int) -> DataFrame:
+def _repeats(contexts: DataFrame, span: int, hot: int, batch_bytes: int, few: int) -> DataFrame:
     """The covered runs (id, th, lo, hi) of the contexts. In each round the contexts of keys with at most ``hot`` contexts are judged in their key's shard;
     those of the others are dealt by their whole text, equal ones become one, and what is left is split and goes to the next round."""
     size, found = K, None
@@ -337,7 +337,7 @@ def _repeats(contexts: DataFrame, span: int, hot: int, batch_bytes: int) -> Data
         keys = materialize(contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), "suffix-hot-keys")
         shard = F.when(F.col("hot"), F.xxhash64("h", "ctx")).otherwise(F.col("h")).alias("shard")
         dealt = _marked(contexts, keys).select("*", shard).repartition("shard").sortWithinPartitions("shard", "h", "ctx").drop("shard", "kind")
-        done = materialize(dealt.mapInArrow(_judged(span, batch_bytes), SHIPPED), "suffix-judged")
+        done = materialize(dealt.mapInArrow(_judged(span, batch_bytes, few), SHIPPED), "suffix-judged")
         runs_ = done.where("kind = 1").select("id", "th", "lo", "hi")
         found = runs_ if found is None else found.unionByName(runs_)
         if size == span or keys.isEmpty():  # a key that is the whole window has one context left
@@ -345,7 +345,11 @@ def _repeats(contexts: DataFrame, span: int, hot: int, batch_bytes: int) -> Data
         contexts, size = materialize(done.where("kind = 0").mapInArrow(_split(span, size), SHIPPED), "suffix-split"), wider(size, span)
 
 
-def _judged(span: int, batch_bytes: int):
+#: Contexts of one k-gram that are compared in pairs where only passages are looked for.
+FEW = 16
+
+
+def _judged(span: int, batch_bytes: int, few: int = 0):
     """A shard's contexts, those of a k-gram together and equal ones next to each other, to covered runs (kind 1); of hot keys only equal
     contexts are covered, and one of each comes back (kind 0)."""
 
@@ -358,8 +362,19 @@ def _judged(span: int, batch_bytes: int):
 
         def close() -> None:
             nonlocal held
-            if len(group) > 1:
-                members = list(group.values())
+            members = list(group.values())
+            if 1 < len(members) <= few:
+                # Equal strings hold the k-gram at the same place, so two contexts share what their extensions around it span.
+                for a, m in enumerate(members):
+                    for o in members[:a]:
+                        left = shared(m["body"][: m["off"]][::-1], o["body"][: o["off"]][::-1])
+                        right = shared(m["body"][m["off"] :], o["body"][o["off"] :])
+                        if left + right >= span:
+                            for x in (m, o):
+                                if x["own"] and not x["many"]:
+                                    i, th, lo, _ = x["own"]
+                                    done.append((i, th, lo + x["off"] - left, lo + x["off"] + right))
+            elif len(members) > 1:
                 right = extensions([m["body"][m["off"] :] for m in members])
                 left = extensions([m["body"][: m["off"]][::-1] for m in members])
                 # What a context shares with others ends where its extensions end, so the rest of it needn't be sorted. Contexts that
@@ -485,19 +500,19 @@ def _known(keys: DataFrame, most_bits: int):
     return keys.sparkSession.sparkContext.broadcast(bitmap.tobytes()), bits
 
 
-def covered(rows: DataFrame, span: int, filter_bits: int | None, batch_bytes: int, hot: int) -> DataFrame:
+def covered(rows: DataFrame, span: int, filter_bits: int | None, batch_bytes: int, hot: int, few: int = 0) -> DataFrame:
     """(id, th, spans), written: the runs of bytes of the texts (id, th, base, text) that repeated strings of ``span`` bytes cover; ``base`` is added to positions.
     Without ``filter_bits`` k-grams aren't counted first, and all contexts go to their shards."""
     if filter_bits is None:
-        return _covered(rows, span, None, 0, batch_bytes, hot)
+        return _covered(rows, span, None, 0, batch_bytes, hot, few)
     counted = rows.select("text").mapInArrow(_counted(span), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     known, bits = _known(materialize(counted.select("h"), "suffix-kgrams"), filter_bits)
-    return _covered(rows, span, known, bits, batch_bytes, hot)
+    return _covered(rows, span, known, bits, batch_bytes, hot, few)
 
 
-def _covered(rows: DataFrame, span: int, known, bits: int, batch_bytes: int, hot: int) -> DataFrame:
+def _covered(rows: DataFrame, span: int, known, bits: int, batch_bytes: int, hot: int, few: int) -> DataFrame:
     shipped = materialize(rows.mapInArrow(_shipped(span, bits, known), SHIPPED), "suffix-contexts")
-    found = _repeats(shipped.where("kind = 0"), span, hot, batch_bytes).unionByName(shipped.where("kind = 1").select("id", "th", "lo", "hi"))
+    found = _repeats(shipped.where("kind = 0"), span, hot, batch_bytes, few).unionByName(shipped.where("kind = 1").select("id", "th", "lo", "hi"))
     return materialize(found.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
 
 
@@ -515,7 +530,7 @@ def remove_repeats(
         raise ValueError(f"passage must be {2 * K} bytes or more, and span not less")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.lit(0).alias("base"), text.cast("binary").alias("text"))
-    passages = covered(rows, passage, filter_bits, batch_bytes, hot)
+    passages = covered(rows, passage, filter_bits, batch_bytes, hot, FEW if passage < span else 0)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
