@@ -30,7 +30,7 @@ BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs
 def decode(raw: bytes) -> str:
     """By byte order mark, by the charset named in the first 8,192 bytes, then UTF-8, GB 18030, Windows 1252, and with replacement marks."""
     tries = [name for bom, name in BOMS if raw.startswith(bom)]
-    if named := re.search(rb"charset=[\"']?([\w.:-]+)", raw[:8192], re.IGNORECASE):
+    if named := re.search(rb"charset\s*=\s*[\"']?([\w.:-]+)", raw[:8192], re.IGNORECASE):
         name = named[1].decode("ascii").lower()
         tries.append("cp1252" if name == "iso-8859-1" else name)
     for name in [*tries, "utf-8", "gb18030", "cp1252"]:
@@ -167,3 +167,35 @@ def parse_files(files: DataFrame) -> DataFrame:
 def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
     """The links of all bookmark files under ``path``."""
     return parse_files(spark.read.format("binaryFile").load(path))
+
+
+def warnings_of(path: str, raw: bytes | None) -> list[dict]:
+    """What a reader should know of a file: lists that don't close, no links, links without a time, folder names that stand for several paths."""
+    text = decode(raw or b"")
+    kind, links = parse(text)
+    said = []
+    if kind == "netscape" and (open_ := len(re.findall(r"<dl\b", text, re.IGNORECASE)) - len(re.findall(r"</dl\b", text, re.IGNORECASE))) > 0:
+        said.append(f"{open_} unclosed lists")
+    if kind == "unknown":
+        said.append("unknown format")
+    elif not links:
+        said.append("no links")
+    if undated := sum(x is None for x in seconds([x["date_added"] for x in links])):
+        said.append(f"{undated} links without a plausible time")
+    paths: dict[str, set] = {}
+    for x in links:
+        paths.setdefault(" / ".join(x["folder_path"]), set()).add(tuple(x["folder_path"]))
+    said += [f"folder {name!r} stands for {len(p)} paths" for name, p in sorted(paths.items()) if len(p) > 1]
+    return [{"path": path, "warning": w} for w in said]
+
+
+def file_warnings(files: DataFrame) -> DataFrame:
+    """(path, warning) of files given as (path, content)."""
+    schema = pa.schema([("path", pa.string()), ("warning", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, raw in zip(b.column("path"), b.column("content"), strict=True):
+                yield pa.RecordBatch.from_pylist(warnings_of(path.as_py(), raw.as_py()), schema)
+
+    return files.select("path", "content").mapInArrow(run, "path string, warning string")
