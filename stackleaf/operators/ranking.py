@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Queries that travel with the tasks: at 1,024 components 80 MB.
+CARRIED = 10_000
+
+
 def ranked(scored: DataFrame, *by: str) -> DataFrame:
     """``rank`` from 1 within ``by``: higher scores first, ties by doc_id."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "doc_id")).cast("int"))
@@ -66,8 +70,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", block: int = 256, others: bool = True) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` vectors (doc_id, v) nearest to each query (query_id, q), with ``others`` not counting one of the query's own id, by inner
-    product (dot) or distance (l2, as a negative score). The queries are a stated set, which travels with the tasks in blocks; each batch
-    of vectors keeps its ``k`` best a query before the exchange."""
+    product (dot) or distance (l2, as a negative score). Up to ``CARRIED`` queries, counted first, travel with the tasks, and each batch of vectors keeps
+    its ``k`` best a query before the exchange; of more, blocks meet blocks of vectors."""
+    if queries.count() > CARRIED:
+        return _grid(queries, vectors, k, metric, others, 4096)
     asked = queries.where("q is not null").orderBy("query_id").toArrow()
     ids = asked.column("query_id").to_numpy()
     q = np.array(asked.column("q").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
@@ -79,47 +85,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot",
                 docs = b.column("doc_id").to_numpy()
                 v = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(docs), -1)
                 for i in range(0, len(ids), 1000):
-                    part = q[i : i + 1000]
-                    raw = part @ v.T if metric == "dot" else -np.sqrt(np.maximum(((part[:, None, :] - v[None, :, :]) ** 2).sum(axis=2), 0.0))
-                    score = np.round(raw, 6) + 0.0
-                    own = (ids[i : i + 1000][:, None] == docs[None, :]) & others
-                    order = np.lexsort((np.broadcast_to(docs, score.shape), -np.where(own, -np.inf, score)), axis=1)[:, : k + 1]
-                    rows = np.repeat(np.arange(len(part)), order.shape[1])
-                    cols = order.ravel()
-                    keep = ~own[rows, cols]
-                    yield pa.record_batch([pa.array(ids[i : i + 1000][rows[keep]]), pa.array(docs[cols[keep]]), pa.array(score[rows[keep], cols[keep]])], ["query_id", "doc_id", "score"])
+                    found = _best(q[i : i + 1000], ids[i : i + 1000], v, docs, k, metric, others)
+                    yield pa.record_batch([pa.array(x) for x in found], ["query_id", "doc_id", "score"])
 
     if not len(ids):
         return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     return top(vectors.where("v is not null").select("doc_id", "v").mapInArrow(run, "query_id long, doc_id long, score double"), k, "query_id")
 
 
-def mutual(vectors: DataFrame, k: int, farthest: float, weight: float = 0.8, block: int = 4096) -> DataFrame:
-    """(src, dst, weight), both ways: vectors (doc_id, v) that are each among the other's ``k`` nearest within distance ``farthest``. Exact: all pairs of blocks
-    of vectors meet, each pair of blocks in a task of its own, which keeps ``k`` a vector; so time grows with the square of the vectors."""
-    n = vectors.where("v is not null").count()
-    parts = max(1, -(-n // block))
-    own = vectors.where("v is not null").select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("p"))
-    left = own.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.col("p").alias("a"), F.col("r").alias("b"), F.lit(0).alias("side"), "doc_id", "v")
-    right = own.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.col("r").alias("a"), F.col("p").alias("b"), F.lit(1).alias("side"), "doc_id", "v")
+def _grid(queries: DataFrame, vectors: DataFrame, k: int, metric: str, others: bool, block: int) -> DataFrame:
+    """As ``nearest`` for many queries: blocks of queries meet blocks of vectors, each pair in a task of its own, which keeps ``k`` a query."""
+    asked, held = queries.where("q is not null"), vectors.where("v is not null")
+    rows, cols = (max(1, -(-t.count() // block)) for t in (asked, held))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(dealt("query_id", rows).alias("a"), every(cols).alias("b"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    right = held.select(every(rows).alias("a"), dealt("doc_id", cols).alias("b"), F.lit(1).alias("side"), F.col("doc_id").alias("id"), F.col("v").cast("array<double>").alias("v"))
 
     def met(group: pa.Table) -> pa.Table:
-        side, ids = group.column("side").to_numpy(), group.column("doc_id").to_numpy()
+        side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
         v = np.array(group.column("v").to_pylist(), dtype=np.float64)
         x, y, xi, yi = v[side == 0], v[side == 1], ids[side == 0], ids[side == 1]
         out = [[], [], []]
-        for at in range(0, len(x), 64):
-            d = np.round(np.sqrt(((x[at : at + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2)), 6)
-            d[xi[at : at + 64][:, None] == yi[None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(yi, d.shape), d), axis=1)[:, :k]
-            rows, cols = np.repeat(np.arange(len(d)), order.shape[1]), order.ravel()
-            keep = np.isfinite(d[rows, cols])
-            for o, c in zip(out, (xi[at : at + 64][rows[keep]], yi[cols[keep]], -d[rows[keep], cols[keep]]), strict=True):
+        for at in range(0, len(x) if len(y) else 0, 64):
+            for o, c in zip(out, _best(x[at : at + 64], xi[at : at + 64], y, yi, k, metric, others), strict=True):
                 o.append(c)
         made = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"query_id": pa.array(made[0].astype(np.int64)), "doc_id": pa.array(made[1].astype(np.int64)), "score": pa.array(made[2].astype(np.float64))})
 
-    near = top(left.unionByName(right).groupBy("a", "b").applyInArrow(met, "query_id long, doc_id long, score double"), k, "query_id").where(F.col("score") >= -farthest)
+    return top(left.unionByName(right).groupBy("a", "b").applyInArrow(met, "query_id long, doc_id long, score double"), k, "query_id")
+
+
+def _best(q: np.ndarray, ids: np.ndarray, v: np.ndarray, docs: np.ndarray, k: int, metric: str, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, scores) of each query's ``k`` best vectors, ties by the smaller id."""
+    raw = q @ v.T if metric == "dot" else -np.sqrt(np.maximum(((q[:, None, :] - v[None, :, :]) ** 2).sum(axis=2), 0.0))
+    score = np.round(raw, 6) + 0.0
+    own = (ids[:, None] == docs[None, :]) & others
+    order = np.lexsort((np.broadcast_to(docs, score.shape), -np.where(own, -np.inf, score)), axis=1)[:, :k]
+    rows, cols = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
+    keep = ~own[rows, cols]
+    return ids[rows[keep]], docs[cols[keep]], score[rows[keep], cols[keep]]
+
+
+def mutual(vectors: DataFrame, k: int, farthest: float, weight: float = 0.8, block: int = 4096) -> DataFrame:
+    """(src, dst, weight), both ways: vectors (doc_id, v) that are each among the other's ``k`` nearest within distance ``farthest``. Exact: all pairs of blocks
+    of vectors meet, so time grows with the square of the vectors."""
+    near = _grid(vectors.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")), vectors, k, "l2", True, block).where(F.col("score") >= -farthest)
     edges = near.select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst"), "score")
     back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     return edges.join(back, ["src", "dst"]).select("src", "dst", F.round(F.lit(weight) * F.greatest(F.lit(0.0), 1 + F.col("score") / 2), 4).alias("weight"))

@@ -51,3 +51,35 @@ def test_rrf(spark):
     rows = spark.createDataFrame([(1, "a", 5, 1), (1, "b", 5, 2), (1, "z", 6, 1)], "query_id long, facet string, doc_id long, rank int")
     got = R.rrf(rows, {"a": 1.0, "b": 0.5, "z": 0.0}).collect()
     assert [(r.doc_id, r.facets) for r in got] == [(5, 2)] and abs(got[0].score - (1 / 61 + 0.5 / 62)) < 1e-8
+
+
+@pytest.mark.parametrize("carried", [10_000, -1])
+def test_nearest_of_few_and_many_queries(spark, monkeypatch, carried):
+    """Queries that travel with the tasks and blocks that meet blocks give the same, ties by the smaller id."""
+    import numpy as np
+
+    monkeypatch.setattr(R, "CARRIED", carried)
+    monkeypatch.setattr(R, "_grid", lambda *a, grid=R._grid: grid(*a[:-1], 7))
+    r = np.random.default_rng(1)
+    v = r.integers(-2, 3, (40, 4)).astype(float)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "doc_id long, v array<float>")
+    asked = rows.where("doc_id % 5 = 0").selectExpr("doc_id as query_id", "v as q")
+    got = {(x.query_id, x["rank"]): (x.doc_id, x.score) for x in R.nearest(rows, asked, 3, "l2").collect()}
+    for i in range(0, 40, 5):
+        best = sorted((round(float(np.sqrt(((v[i] - w) ** 2).sum())), 6), j) for j, w in enumerate(v) if j != i)[:3]
+        assert [got[i, k + 1] for k in range(3)] == [(j, -d if d else 0.0) for d, j in best]
+    assert R.mutual(rows, 3, 9.0).count() % 2 == 0
+
+
+def test_entry_without_training_operators(tmp_path):
+    """Without the training-data operators the entry still imports and registers the library."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "stackleaf", tmp_path / "stackleaf", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(QUERIES)), "False"]
