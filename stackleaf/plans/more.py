@@ -197,13 +197,16 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-PAIRS = "list_transform(list_filter(string_split({q}, '&'), lambda x: x <> ''), lambda x: {{'k': regexp_extract(x, '^([^=]*)', 1), 'v': regexp_extract(x, '^[^=]*=(.*)$', 1)}})"
+PAIRS = "list_transform(list_filter(string_split({q}, '&'), lambda x: x <> ''), lambda x: {{'k': url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))}})"
+PATH_SQL = "url_encode(url_decode(path))"
+for _c in urls.SAFE:
+    PATH_SQL = f"replace({PATH_SQL}, '%{ord(_c):02X}', {quoted(_c)})"
 ADDRESSES = f"""split AS (SELECT page_id, html, trim(url) AS u, lower(regexp_extract(trim(url), '{urls.SPLIT}', 1)) AS scheme, regexp_extract(trim(url), '{urls.SPLIT}', 2) AS auth, regexp_extract(trim(url), '{urls.SPLIT}', 3) AS path,
         {PAIRS.format(q=f"regexp_extract(trim(url), '{urls.SPLIT}', 4)")} AS pairs, regexp_extract(trim(url), '{urls.SPLIT}', 5) AS frag FROM pages),
     named AS (SELECT *, lower(regexp_extract(auth, '^(?:[^@]*@)?([^:]*)', 1)) AS h0, regexp_extract(auth, ':([0-9]+)$', 1) AS port FROM split),
     bare AS (SELECT *, CASE WHEN h0 LIKE 'www.%' AND length(h0) - length(replace(h0, '.', '')) >= 2 THEN substr(h0, 5) ELSE h0 END AS host,
-        array_to_string(list_transform(list_sort(list_filter(pairs, lambda x: NOT (lower(x.k) IN {listed(urls.TRACKING)} OR regexp_matches(lower(x.k), '{urls.TRACKING_PREFIX}')))), lambda x: x.k || '=' || x.v), '&') AS query,
-        regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') AS p FROM named),
+        array_to_string(list_transform(list_sort(list_filter(pairs, lambda x: NOT (lower(x.k) IN {listed(urls.TRACKING)} OR regexp_matches(lower(x.k), '{urls.TRACKING_PREFIX}')))), lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS query,
+        regexp_replace(regexp_replace({PATH_SQL}, '/+', '/', 'g'), '/$', '') AS p FROM named),
     kept AS (SELECT *, CASE WHEN regexp_matches(frag, '^[!/]') OR host IN {listed(urls.ANCHOR_HOSTS)} THEN frag ELSE '' END AS kept_fragment FROM bare),
     addresses AS (SELECT page_id, html, kept_fragment, scheme IN ('http', 'https') AS indexable, CASE WHEN scheme IN ('http', 'https') THEN 'https://' || host
         || CASE WHEN port <> '' AND port <> (CASE scheme WHEN 'http' THEN '80' ELSE '443' END) THEN ':' || port ELSE '' END || CASE p WHEN '' THEN '/' ELSE p END

@@ -83,3 +83,32 @@ def test_entry_without_training_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert said.stdout.split() == [str(len(QUERIES)), "False"]
+
+
+def test_addresses(spark):
+    """Escapes are read and written anew, in paths and queries; other schemes stay."""
+    from stackleaf.functions import urls
+
+    pairs = {
+        "http://WWW.a.example:80/x//y%20z/%7Ek/?b=1%202&a=%E4%B8%AD+x&utm_source=q#frag": "https://a.example/x/y%20z/~k?a=%E4%B8%AD+x&b=1+2",
+        "https://e.example/a%2Fb/caf%C3%A9;v=1?q=a*b~c": "https://e.example/a/b/caf%C3%A9;v=1?q=a%2Ab~c",
+        "https://e.example/é?ü=ö": "https://e.example/%C3%A9?%C3%BC=%C3%B6",
+        "https://e.example?x": "https://e.example/?x=",
+        "https://e.example/%zz?a=%": "https://e.example/%zz?a=%25",
+        " ftp://x/y ": "ftp://x/y",
+    }
+    rows = spark.createDataFrame([(u,) for u in pairs], "u string")
+    assert {r[0]: r[1] for r in rows.select("u", urls.normalize(F.col("u"))).collect()} == pairs
+
+
+def test_counts_of_units_ago(spark):
+    from stackleaf.functions import understanding as U
+
+    day, now = 86_400, 1_706_745_600
+    said = {"三个月前": 90, "3天前 存的": 3, "十二周前": 84, "二十一天前": 21, "两年前": 730, "a couple of weeks ago": 14, "十天前": 10, "一百天前": None, "plain words": None}
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", U.time_window(F.col("t"), now).alias("w"))
+    for r in rows.collect():
+        if said[r.t] is not None:
+            assert (r.w.lo + max(day, (now - said[r.t] * day) - r.w.lo)) == now - said[r.t] * day and r.w.rule == "n_ago"
+        elif r.t == "plain words":
+            assert r.w is None
