@@ -140,4 +140,4 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {"op1_secret_scans": secrets.oracle_sql()}

@@ -63,14 +63,15 @@ def labelled_samples(spark: SparkSession, rows: int = 20_000) -> DataFrame:
     random = F.element_at(F.array(b64, url, plain, plain, upper, raw, F.substring(raw, 1, 40), F.upper(raw)), (F.pmod(i, F.lit(8)) + 1).cast("int"))
     words = F.split(F.lit(WORDS), " ")
 
-    def word(k: int) -> Column:
-        return F.get(words, F.pmod(F.xxhash64(i, F.lit(k)), F.size(words)).cast("int"))
+    def drawn(k: int, digits: int = 8) -> Column:
+        """A number from a hash that any engine has, so that SQL can make the same samples."""
+        return F.conv(F.substring(F.md5(F.concat(i.cast("string"), F.lit(f":{k}"))), 1, digits), 16, 10).cast("long")
 
-    four = [word(k) for k in range(4)]
-    number = F.pmod(F.xxhash64(i, F.lit(9)), F.lit(10_000)).cast("string")
+    four = [F.get(words, F.pmod(drawn(k), F.size(words)).cast("int")) for k in range(4)]
+    number = F.pmod(drawn(9), F.lit(10_000)).cast("string")
     camel = F.concat(four[0], *(F.initcap(w) for w in four[1:]))
     day = F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(i, F.lit(20_000)).cast("int")).cast("string")
-    digits = F.rpad(F.abs(F.xxhash64(i, F.lit(11))).cast("string"), 19, "0")
+    digits = F.rpad(drawn(11, 15).cast("string"), 19, "0")
     same = F.repeat(F.substring(F.lit("-=_+/0aex"), (F.pmod(i, F.lit(9)) + 1).cast("int"), 1), 24)
     forms = [
         F.concat_ws("_", *four), F.concat_ws("_", *four), camel, F.initcap(camel), F.concat_ws("-", *four), F.upper(F.concat_ws("_", *four)), F.concat_ws("/", *four, number),
@@ -152,3 +153,45 @@ def described(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _sql_parts(kind: int, pattern: str, keep: str, group: int = 0) -> str:
+    """A pattern's matches (row, kind, pos, gap, size, keep) in SQL."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT row, {kind} AS kind, pos, length(g) AS gap, length(m) AS size, {keep} AS keep FROM (SELECT row, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[:len(ms)]) AS g, generate_subscripts(ms, 1) AS pos
+        FROM (SELECT row, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS vs, regexp_split_to_array(t, {p}) AS gs FROM d WHERE regexp_matches(t, {p}))), models"""
+
+
+def oracle_sql(rows: int = 20_000, least: int = 20, threshold: float = 14.0) -> str:
+    """The scan of ``documents`` in SQL, with the models' samples, counts and ratios made anew."""
+    words = "[" + ", ".join(f"'{w}'" for w in WORDS.split()) + "]"
+    drawn = lambda k, n=8: f"('0x' || substr(md5(i || ':{k}'), 1, {n}))::BIGINT"
+    a, b, c, e = (f"w{k}" for k in range(4))
+    big = lambda w: f"upper({w}[1]) || substr({w}, 2)"
+    camel = f"{a} || {big(b)} || {big(c)} || {big(e)}"
+    snake = " || '_' || ".join((a, b, c, e))
+    forms = (
+        snake, snake, camel, f"{big(a)} || substr({camel}, length({a}) + 1)", " || '-' || ".join((a, b, c, e)), f"upper({snake})", " || '/' || ".join((a, b, c, e, "n")), f"{a} || {b} || {c} || {e}", f"{a} || {b} || {c} || {e}", f"{a} || {b} || {c}",
+        f"upper({a} || {b} || {c} || {e})", f"{a} || '-' || {b} || '-' || (DATE '1990-01-01' + (i % 20000)::INTEGER)::DATE::VARCHAR", f"{a} || '_' || {b} || '_' || n", f"rpad({drawn(11, 15)}::VARCHAR, 19, '0')", "repeat(substr('-=_+/0aex', i % 9 + 1, 1), 24)", f"{a} || '=' || {b} || '-' || n",
+    )
+    random = ("x", "translate(x, '+/', '-_')", "translate(x, '+/', 'xQ')", "translate(x, '+/', 'xQ')", "upper(translate(x, '+/', '7K'))", "raw", "left(raw, 40)", "upper(raw)")
+    case = lambda options: "CASE " + " ".join(f"WHEN i % {len(options)} = {k} THEN {o}" for k, o in enumerate(options)) + " END"
+    drawn_words = ", ".join(f"words[{drawn(k)} % len(words) + 1] AS w{k}" for k in range(4))
+    ratio = f"length(m) >= {least} AND list_sum(list_transform(range(1, length(m) + 1), lambda j: model[(CASE WHEN j = 1 THEN 0 ELSE ascii(substr(m, j - 1, 1)) END) * 128 + ascii(substr(m, j, 1)) + 1])) >= {int(threshold * 1000)}"
+    touch = lambda low: f"EXISTS (SELECT 1 FROM spans o WHERE o.row = s.row AND o.kind < {low} AND o.a < s.z AND s.a < o.z)"
+    named = "(['assign', 'access', 'hex', 'markov', 'markov'])[kind + 1] || ':' || a || ':' || z"
+    parts = " UNION ALL ".join(
+        (
+            _sql_parts(0, ASSIGN, "length(v) >= 8", 2), _sql_parts(1, ACCESS, "length(m) >= 16"), _sql_parts(2, "[0-9a-f]+", "length(m) >= 32"), _sql_parts(RUN, f"[{TOKEN_CHARS}]+", ratio), _sql_parts(PIECE, f"[{PLAIN_CHARS}]+", ratio),
+        )
+    )
+    return f"""WITH made AS (SELECT i, {words} AS words, sha256('sample' || i) AS raw FROM range({rows}) AS r(i)), base AS (SELECT i, raw, rtrim(base64(unhex(raw)), '=') AS x, {drawn_words}, ({drawn(9)} % 10000)::VARCHAR AS n FROM made),
+    samples AS (SELECT 1 AS label, {case(random)} AS s FROM base UNION ALL SELECT 0, {case(forms)} FROM base),
+    steps AS (SELECT label, unnest(list_transform(range(1, length(s) + 1), lambda j: (CASE WHEN j = 1 THEN 0 ELSE ascii(substr(s, j - 1, 1)) END) * 128 + ascii(substr(s, j, 1)))) AS cell FROM samples),
+    counts AS (SELECT cell, sum(label) AS r, sum(1 - label) AS o FROM steps WHERE cell BETWEEN 0 AND 16383 GROUP BY cell), totals AS (SELECT cell // 128 AS p, sum(r) AS rt, sum(o) AS ot FROM counts GROUP BY 1),
+    models AS MATERIALIZED (SELECT list(round(1000 * (ln((coalesce(r, 0) + 0.5::DOUBLE) / (coalesce(rt, 0) + 33)) - ln((coalesce(o, 0) + 0.5::DOUBLE) / (coalesce(ot, 0) + 33))))::INTEGER ORDER BY g.cell) AS model FROM range(16384) AS g(cell) LEFT JOIN counts USING (cell) LEFT JOIN totals ON p = g.cell // 128),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents), parts AS ({parts}),
+    spans AS MATERIALIZED (SELECT row, kind, z - size AS a, z FROM (SELECT *, sum(gap + size) OVER (PARTITION BY row, kind ORDER BY pos ROWS UNBOUNDED PRECEDING) AS z FROM parts) WHERE keep),
+    kept AS (SELECT * FROM spans s WHERE kind < {RUN} OR (kind = {RUN} AND NOT {touch(RUN)}) OR (kind = {PIECE} AND NOT {touch(PIECE)})),
+    said AS (SELECT row, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, string_agg({named}, ',' ORDER BY a, kind, z) FILTER (kind < {RUN}) AS b, string_agg({named}, ',' ORDER BY a, least(kind, {RUN}), z) AS every FROM kept GROUP BY row)
+    SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN said USING (row)"""

@@ -6,6 +6,8 @@ import re
 import string
 import time
 
+import duckdb
+
 from stackleaf.llm import queries, secrets
 
 PATTERNS = (
@@ -55,6 +57,9 @@ def test_query(spark, tmp_path):
     assert len(rows) == len(made) + 2
     for r in rows:
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == expected(made[5 if r.doc_id is None else r.doc_id], model)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, con.sql(secrets.oracle_sql()).fetchall()))
     assert sum(r.n_assign > 0 and r.n_hex > 0 for r in rows) > 5 and any("markov" in r.spans for r in rows)
 
 
