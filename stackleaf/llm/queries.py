@@ -139,5 +139,20 @@ ORACLE = {
 }
 
 
+def repeats_sql(span: int, out: str) -> str:
+    """The maximal runs (row, lo, hi) of bytes in strings of ``span`` bytes that also start elsewhere: every window by its digest."""
+    return f"""{out}_w AS MATERIALIZED (SELECT row, s, md5(substr(h, 2 * s + 1, {2 * span})) AS m FROM (SELECT row, h, unnest(range(0, n - {span - 1})) AS s FROM d WHERE n >= {span})),
+        {out}_r AS (SELECT row, s FROM {out}_w WHERE m IN (SELECT m FROM {out}_w GROUP BY m HAVING count(*) > 1)), {out}_b AS (SELECT row, s, coalesce(s > lag(s) OVER (PARTITION BY row ORDER BY s) + {span}, true)::INTEGER AS b FROM {out}_r),
+        {out}_i AS (SELECT row, s, sum(b) OVER (PARTITION BY row ORDER BY s ROWS UNBOUNDED PRECEDING) AS i FROM {out}_b), {out} AS MATERIALIZED (SELECT row, min(s) AS lo, max(s) + {span} AS hi FROM {out}_i GROUP BY row, i)"""
+
+
+REPEATS = f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents), {repeats_sql(400, 'gone')}, {repeats_sql(256, 'passage')},
+        cuts AS (SELECT row, lo, hi, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS before FROM gone),
+        left_ AS (SELECT row, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS pieces, max(hi) AS last FROM cuts JOIN d USING (row) GROUP BY row),
+        held AS (SELECT row, sum(hi - lo)::BIGINT AS n_repeated FROM passage GROUP BY row)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(pieces || substr(h, 2 * last + 1), h))) AS kept_sha256, coalesce(n_repeated, 0) AS n_repeated FROM d LEFT JOIN left_ USING (row) LEFT JOIN held USING (row)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {"op1_secret_scans": secrets.oracle_sql()}
+    return ORACLE | {"op1_secret_scans": secrets.oracle_sql(), "op8_suffix_array_dedup": REPEATS}
