@@ -1,8 +1,8 @@
 """Lexical lists: words and parts of several weighted columns, scored for batches of queries.
 
-Documents are cut into terms where they are read, and only terms that some query asks for go on, so what is shuffled grows with the queries' terms and not with
-the texts. Terms' numbers are counted by Spark; the scores of a batch of documents for all queries are one sparse product, of which each batch keeps the best of
-each query. The queries are a stated set: their terms travel with the tasks, in blocks of ``BLOCK`` queries.
+Documents are cut into terms where they are read, and only terms that some query asks for are counted, a document at a time, so no text and no posting is shuffled:
+one pass sums how many documents hold each term, and one scores. The scores of a batch of documents for all queries are one sparse product, of which each batch
+keeps the best of each query. The queries are a stated set: their terms travel with the tasks, in blocks of ``BLOCK`` queries.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,25 +34,45 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(folded(segment(text)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
-def word_hits(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, dl, term, f) of the terms of ``asked`` (query_id, term) in the columns of ``docs``, and (n, avgdl) over all documents."""
-    listed = {c: words(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS if c in docs.columns}
-    cut = docs.select("doc_id", *(v.alias(c) for c, v in listed.items()))
-    size = sum((F.size(c) for c in listed), F.lit(0)).cast("long")
-    stats = cut.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
-    parts = [cut.select("doc_id", size.alias("dl"), F.explode(c).alias("term"), F.lit(WEIGHTS[c]).alias("f")) for c in listed]
-    flat = parts[0]
-    for p in parts[1:]:
-        flat = flat.unionByName(p)
-    wanted = asked.select("term").distinct()
-    return flat.join(F.broadcast(wanted), "term").groupBy("doc_id", "dl", "term").agg(F.sum("f").alias("f")), stats
+#: Rows of documents: their size, and the numbers and weighted counts of the terms that some query asks for.
+POSTINGS = "doc_id long, dl long, t array<int>, f array<double>"
 
 
-def part_hits(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As ``word_hits`` for terms anywhere in the columns' lower-case texts; the size is the number of three-character parts. Occurrences don't overlap."""
+def _lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
+
+
+def _postings(docs: np.ndarray, dl: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> pa.RecordBatch:
+    keys, back = np.unique(row * max(terms, 1) + term, return_inverse=True)
+    f = np.bincount(back, weight, minlength=len(keys))
+    sizes = np.bincount(keys // max(terms, 1), minlength=len(docs))
+    return pa.record_batch([pa.array(docs, pa.int64()), pa.array(dl, pa.int64()), _lists(sizes, keys % max(terms, 1), pa.int32()), _lists(sizes, f, pa.float64())], ["doc_id", "dl", "t", "f"])
+
+
+def word_postings(cut: DataFrame, weights: dict[str, float], terms: list[str]) -> DataFrame:
+    """The postings of documents cut into words (doc_id, and an array of words for each column), without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for b in batches:
+            docs = b.column("doc_id").to_numpy()
+            dl, found = np.zeros(len(docs), dtype=np.int64), [[], [], []]
+            for c, w in weights.items():
+                size = np.diff(b.column(c).offsets.to_numpy())
+                dl += size
+                at = pc.fill_null(pc.index_in(b.column(c).flatten(), value_set=known), -1).to_numpy()
+                row = np.repeat(np.arange(len(docs)), size)
+                for x, y in zip(found, (row[at >= 0], at[at >= 0], np.full(np.count_nonzero(at >= 0), w)), strict=True):
+                    x.append(y)
+            yield _postings(docs, dl, *(np.concatenate(x) for x in found), len(terms))
+
+    return cut.select("doc_id", *weights).mapInArrow(run, POSTINGS)
+
+
+def part_postings(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of terms anywhere in the columns' lower-case texts; the size is the number of three-character parts. Occurrences don't overlap."""
     import ahocorasick
 
-    terms = [r.term for r in asked.select("term").distinct().collect()]
     columns = [c for c in WEIGHTS if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,49 +82,60 @@ def part_hits(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         if terms:
             auto.make_automaton()
         for b in batches:
-            doc, hit, f = [], [], []
-            for i, *texts in zip(b.column("doc_id").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
-                counts: dict[int, float] = {}
+            row, term, weight = [], [], []
+            for i, texts in enumerate(zip(*(b.column(c).to_pylist() for c in columns), strict=True)):
                 for c, text in zip(columns, texts, strict=True):
                     free: dict[int, int] = {}
                     for end, (k, n) in auto.iter(text) if terms and text else ():
                         if end - n + 1 >= free.get(k, 0):
                             free[k] = end + 1
-                            counts[k] = counts.get(k, 0.0) + WEIGHTS[c]
-                doc += [i] * len(counts)
-                hit += [terms[k] for k in counts]
-                f += counts.values()
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(hit, pa.string()), pa.array(f, pa.float64())], ["doc_id", "term", "f"])
+                            row.append(i)
+                            term.append(k)
+                            weight.append(WEIGHTS[c])
+            yield _postings(b.column("doc_id").to_numpy(), b.column("dl").to_numpy(), np.array(row, dtype=np.int64), np.array(term, dtype=np.int64), np.array(weight), len(terms))
 
-    low = docs.select("doc_id", *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns))
     size = sum((F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in columns), F.lit(0)).cast("long")
-    sizes = docs.select("doc_id", size.alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return low.mapInArrow(run, "doc_id long, term string, f double").join(sizes, "doc_id"), stats
+    return docs.select("doc_id", size.alias("dl"), *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns)).mapInArrow(run, POSTINGS)
 
 
-def scored(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int, plus: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): the ``k`` best documents of each query by BM25; ``plus`` keeps the weight of terms that most documents hold above 0
-    by ln(1 + x) instead of a floor."""
-    n, avgdl = stats.first()
-    counts = {r.term: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # at most the queries' terms
-    pairs: dict[str, list] = {}
-    for r in asked.distinct().collect():
-        pairs.setdefault(r.term, []).append(r.query_id)
-    queries = sorted({q for x in pairs.values() for q in x})
-    terms = sorted(counts)
+def numbers(postings: DataFrame, terms: int) -> tuple[int, float, np.ndarray]:
+    """Documents, their mean size, and how many hold each term: sums of a task first, one row a term in the driver, which has the queries' terms anyway."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size = np.zeros(terms, dtype=np.int64), 0, 0
+        for b in batches:
+            held += np.bincount(b.column("t").flatten().to_numpy(), minlength=terms)
+            n += b.num_rows
+            size += int(b.column("dl").to_numpy().sum())
+        some = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(np.concatenate([[-1, -2], some]), pa.int64()), pa.array(np.concatenate([[n, size], held[some]]), pa.int64())], ["t", "n"])
+
+    found = {r.t: r.n for r in postings.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(terms)
+    for t, c in found.items():
+        if t >= 0:
+            df[t] = c
+    n = found.get(-1, 0)
+    return n, found.get(-2, 0) / max(n, 1), df
+
+
+def scored(postings: DataFrame, terms: list[str], asked: DataFrame, k: int, plus: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best documents of each query of ``asked`` (query_id, term) by BM25; ``plus`` keeps the weight of terms that most
+    documents hold above 0 by ln(1 + x) instead of a floor."""
+    n, avgdl, df = numbers(postings, len(terms))
     number = {t: i for i, t in enumerate(terms)}
-    df = np.array([counts[t] for t in terms], dtype=np.float64)
+    pairs: list[list] = [[] for _ in terms]
+    for r in asked.distinct().collect():
+        pairs[number[r.term]].append(r.query_id)
+    queries = sorted({q for x in pairs for q in x})
     odds = (n - df + 0.5) / (df + 0.5)
     with np.errstate(invalid="ignore", divide="ignore"):
         idf = np.log1p(odds) if plus else np.where(odds > 1, np.log(odds), 1e-6)
-    names = asked.sparkSession.createDataFrame([(t, i) for t, i in number.items()], "term string, t int")
-    rows = hits.join(F.broadcast(names), "term").groupBy("doc_id", "dl").agg(F.collect_list(F.struct("t", "f")).alias("h"))
     found = None
     for at in range(0, len(queries), BLOCK):
         block = queries[at : at + BLOCK]
         place = {q: i for i, q in enumerate(block)}
-        lists = [[place[q] for q in pairs.get(t, ()) if q in place] for t in terms]
+        lists = [[place[q] for q in x if q in place] for x in pairs]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         flat = np.array([q for x in lists for q in x], dtype=np.int64)
         ids = np.array(block, dtype=np.int64)
@@ -112,10 +144,8 @@ def scored(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int, plus: bo
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     b = batch.slice(i, 256)
-                    h = b.column("h")
-                    size = np.diff(h.offsets.to_numpy())
-                    inner = h.flatten()
-                    t, f = inner.field("t").to_numpy(), inner.field("f").to_numpy()
+                    size = np.diff(b.column("t").offsets.to_numpy())
+                    t, f = b.column("t").flatten().to_numpy(), b.column("f").flatten().to_numpy()
                     doc = np.repeat(np.arange(b.num_rows), size)
                     dl = b.column("dl").to_numpy()[doc]
                     w = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
@@ -133,7 +163,7 @@ def scored(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int, plus: bo
                     r, q = r[keep], q[keep]
                     yield pa.record_batch([pa.array(ids[q]), pa.array(docs[r]), pa.array(sums[r, q])], ["query_id", "doc_id", "score"])
 
-        one = rows.mapInArrow(run, "query_id long, doc_id long, score double")
+        one = postings.mapInArrow(run, "query_id long, doc_id long, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return asked.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
@@ -141,14 +171,23 @@ def scored(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int, plus: bo
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def terms_of(asked: DataFrame) -> list[str]:
+    """The distinct terms of the queries."""
+    return sorted(r.term for r in asked.select("term").distinct().collect())
+
+
 def word_list(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The list of ``queries`` (query_id, text) over the words of ``docs``."""
-    terms = F.flatten(F.transform(match_terms(F.col("text"), True), lambda w: F.regexp_extract_all(folded(w), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms)).alias("term"))
-    return scored(*word_hits(docs, asked), asked, k)
+    wanted = F.flatten(F.transform(match_terms(F.col("text"), True), lambda w: F.regexp_extract_all(folded(w), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))))
+    asked = queries.select("query_id", F.explode(F.array_distinct(wanted)).alias("term"))
+    weights = {c: w for c, w in WEIGHTS.items() if c in docs.columns}
+    terms = terms_of(asked)
+    cut = docs.select("doc_id", *(words(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in weights))
+    return scored(word_postings(cut, weights, terms), terms, asked, k)
 
 
 def part_list(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The list of ``queries`` over parts of three characters or more of ``docs``; queries without such a term have none."""
     asked = queries.select("query_id", F.explode(F.array_distinct(F.transform(match_terms(F.col("text"), False), F.lower))).alias("term"))
-    return scored(*part_hits(docs, asked), asked, k)
+    terms = terms_of(asked)
+    return scored(part_postings(docs, terms), terms, asked, k)

@@ -62,10 +62,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     cut = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     asked = queries.select("query_id", F.explode(F.array_distinct(cut("text"))).alias("term"))
-    sizes = docs.select("doc_id", cut("text").alias("w")).select("doc_id", "w", F.size("w").cast("long").alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    flat = sizes.select("doc_id", "dl", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
-    return lexical.scored(flat.groupBy("doc_id", "dl", "term").agg(F.count("*").cast("double").alias("f")), stats, asked, k, plus=True)
+    terms = lexical.terms_of(asked)
+    return lexical.scored(lexical.word_postings(docs.select("doc_id", cut("text").alias("w")), {"w": 1.0}, terms), terms, asked, k, plus=True)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", block: int = 256, others: bool = True) -> DataFrame:
