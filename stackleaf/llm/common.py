@@ -48,6 +48,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join that is never a broadcast: for sides that are far larger than Spark estimates from what they are made of (several rows of each one, values
+    that repeat in a file), which the driver would have to hold."""
+    return left.hint("merge").join(right.hint("merge"), key)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, pieces
+from .common import as_bytes, materialize, pieces, sorted_join
 
 #: Fixed value: the generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the binary Golay code.
 GENERATOR = 0b110001110101
@@ -162,7 +162,8 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
         raise ValueError("the segments' codewords cover at most 3 differing bits")
     own = prints.mapInArrow(_keyed(True), "key int, fp long").withColumnRenamed("fp", "a")
     near = prints.mapInArrow(_keyed(False), "key int, fp long").withColumnRenamed("fp", "b")
-    return own.join(near, "key").where((F.col("a") < F.col("b")) & (differing("a", "b") <= most)).select("a", "b").distinct()
+    # A fingerprint has up to 108 keys, which Spark's estimate of the size doesn't know of.
+    return sorted_join(own, near, "key").where((F.col("a") < F.col("b")) & (differing("a", "b") <= most)).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
