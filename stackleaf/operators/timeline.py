@@ -88,6 +88,17 @@ def chosen(scanned: DataFrame, fallback: int = 1200) -> DataFrame:
     return best.select(F.when(F.coalesce(F.col("o") > 0, F.lit(False)), F.col("e")).otherwise(F.lit(fallback)).alias("eps"))
 
 
+def larger(members: DataFrame, group: list[str], key: str = "id", width: int = 65_536) -> DataFrame:
+    """(group, key, n, later) for each distinct key of a group: its rows, and the group's rows of a larger key. Sums stay within bins of ``width`` keys; only one
+    row a bin is ordered as a whole."""
+    each = members.groupBy(*group, key).agg(F.count("*").alias("n")).withColumn("bin_", F.floor(F.col(key) / width))
+    behind = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = each.groupBy(*group, "bin_").agg(F.sum("n").alias("size_"))
+    bins = bins.select(*group, "bin_", behind("size_", group, "bin_").alias("behind_"))
+    own = each.withColumn("own_", behind("n", [*group, "bin_"], key)).join(bins, [*group, "bin_"])
+    return own.select(*group, key, "n", (F.col("own_") + F.col("behind_")).alias("later"))
+
+
 def digests_of_others(members: DataFrame, group: str, small: int = 64, part: int = 1_024) -> DataFrame:
     """(id, n, digest) of the members (group, id, text) of groups with another id: how many rows the group has of other ids, and the MD5 of their texts by id, joined by
     "|". A group's texts are joined once, and its members dealt to parts, which hash what is before a member once for all and what is behind it for each:

@@ -37,3 +37,15 @@ def test_no_pairs_in_the_shuffle(spark):
     from stackleaf.plans import sessions
 
     assert "digests_of_others" in sessions.q_beside.__code__.co_names
+
+
+@pytest.mark.parametrize("width", [7, 65_536])
+def test_larger(spark, width):
+    want = {(s, i): (PLAIN.count((s, i)), sum(r == s and j > i for r, j in PLAIN)) for s, i in PLAIN}
+    assert {(r.session, r.id): (r.n, r.later) for r in T.larger(members(spark), ["session"], width=width).collect()} == want
+
+
+def test_pairs_of_one_long_session_are_counted(spark):
+    n = 300_000
+    rows = spark.range(n).select(F.lit(0).alias("session"), "id")
+    assert T.larger(rows, ["session"]).agg(F.sum(F.col("n") * F.col("later"))).first()[0] == n * (n - 1) // 2
