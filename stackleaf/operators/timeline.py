@@ -88,6 +88,16 @@ def chosen(scanned: DataFrame, fallback: int = 1200) -> DataFrame:
     return best.select(F.when(F.coalesce(F.col("o") > 0, F.lit(False)), F.col("e")).otherwise(F.lit(fallback)).alias("eps"))
 
 
+def best_other(members: DataFrame, anchors: DataFrame, group: list[str]) -> DataFrame:
+    """(id, strength) of the members (group, id) whose group has an anchor (group, anchor, strength) other than themselves: the strength of the best one. Each group keeps its
+    two best strengths of different anchors, so no pairs are made."""
+    per = anchors.groupBy(*group, "anchor").agg(F.max("strength").alias("strength")).groupBy(*group).agg(F.max(F.struct("strength", "anchor")).alias("first_"))
+    rest = anchors.join(per, group).where("anchor <> first_.anchor").groupBy(*group).agg(F.max("strength").alias("second_"))
+    own = F.when(F.col("id") != F.col("first_.anchor"), F.col("first_.strength")).otherwise(F.col("second_"))
+    met = members.join(per, group).join(rest, group, "left").withColumn("strength", own)
+    return met.where("strength is not null").groupBy("id").agg(F.max("strength").alias("strength"))
+
+
 def larger(members: DataFrame, group: list[str], key: str = "id", width: int = 65_536) -> DataFrame:
     """(group, key, n, later) for each distinct key of a group: its rows, and the group's rows of a larger key. Sums stay within bins of ``width`` keys; only one
     row a bin is ordered as a whole."""

@@ -66,7 +66,7 @@ def q_peers(spark, d):
     """Session peers of every tenth save as an anchor: the strongest anchor counts."""
     rows = grouped(spark, d).where("session >= 0").select("session", "id")
     anchors = rows.where("id % 10 = 0").select("session", F.col("id").alias("anchor"), (1.0 / (1.0 + F.lit(0.2) * F.expr("id div 10 % 10"))).alias("strength"))
-    return rows.join(anchors, "session").where("id <> anchor").groupBy("id").agg(F.round(F.max("strength"), 9).alias("strength"))
+    return T.best_other(rows, anchors, ["session"]).select("id", F.round("strength", 9).alias("strength"))
 
 
 def edges(spark, d):

@@ -39,6 +39,25 @@ def test_no_pairs_in_the_shuffle(spark):
     assert "digests_of_others" in sessions.q_beside.__code__.co_names
 
 
+def test_best_other(spark):
+    rows = members(spark).select("session", "id")
+    strength = lambda i: 1.0 / (1.0 + 0.2 * (i // 10 % 10))
+    anchors = rows.where("id % 10 = 0").select("session", F.col("id").alias("anchor"), (1.0 / (1.0 + F.lit(0.2) * F.expr("id div 10 % 10"))).alias("strength"))
+    want = {}
+    for s, i in PLAIN:
+        found = [strength(j) for r, j in PLAIN if r == s and j % 10 == 0 and j != i]
+        if found:
+            want[i] = max(found + ([want[i]] if i in want else []))
+    found = T.best_other(rows, anchors, ["session"])
+    assert {r.id: r.strength for r in found.collect()} == pytest.approx(want)
+
+
+def test_peers_of_one_long_session_are_not_paired(spark):
+    rows = spark.range(400_000).select(F.lit(0).alias("session"), "id")
+    anchors = rows.where("id % 10 = 0").select("session", F.col("id").alias("anchor"), F.lit(1.0).alias("strength"))
+    assert T.best_other(rows, anchors, ["session"]).count() == 400_000  # 16 billion pairs
+
+
 @pytest.mark.parametrize("width", [7, 65_536])
 def test_larger(spark, width):
     want = {(s, i): (PLAIN.count((s, i)), sum(r == s and j > i for r, j in PLAIN)) for s, i in PLAIN}
