@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, pieces
+from .common import as_bytes, materialize, pieces, sorted_join
 
 BANDS, ROWS = 12, 4
 #: Texts with a candidate are looked up by a broadcast of their ids up to so many (16 MB), counted first; by a shuffle beyond.
@@ -86,11 +86,11 @@ def candidates(printed: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
     picked = materialize(members.groupBy("key").agg(F.count("*").alias("size"), F.min("m").alias("low"), F.min(drawn)["m"].alias("any")).where("size > 1"), "alike-buckets")
     large = picked.where(F.col("size") > SMALL)
     centers = large.select("key", F.explode(F.array_distinct(F.array("low", "any"))).alias("c"))
-    few = materialize(members.join(picked.where(F.col("size") <= SMALL).select("key"), "key"), "alike-few")
+    few = materialize(sorted_join(members, picked.where(F.col("size") <= SMALL).select("key"), "key"), "alike-few")
     fits = (F.col("m.fp") != F.col("c.fp")) & (F.least("m.n", "c.n") >= F.greatest("m.n", "c.n") * F.lit(similarity) - 1e-6)
-    small = few.join(few.withColumnRenamed("m", "c"), "key").where((F.col("m.id") < F.col("c.id")) & fits)
-    met = members.join(centers, "key").where(fits).union(small).select(F.least("m", "c").alias("a"), F.greatest("m", "c").alias("b"))
-    crowd = members.join(large.select("key"), "key").select("m.*").distinct()
+    small = sorted_join(few, few.withColumnRenamed("m", "c"), "key").where((F.col("m.id") < F.col("c.id")) & fits)
+    met = sorted_join(members, centers, "key").where(fits).union(small).select(F.least("m", "c").alias("a"), F.greatest("m", "c").alias("b"))
+    crowd = sorted_join(members, large.select("key"), "key").select("m.*").distinct()
     return materialize(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "alike-candidates"), materialize(crowd, "alike-crowd")
 
 
@@ -138,12 +138,12 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, similarity: float, longest: i
 
     first = own.mapInArrow(prefixes, "dig long, n long, token long, at long, low boolean").drop("n")
     x = F.struct("n", "dig", "id", "fp", "label", "at", "low").alias("x")
-    lists = materialize(first.join(crowd, "dig").select("token", x), "alike-lists")
+    lists = materialize(sorted_join(first, crowd, "dig").select("token", x), "alike-lists")
     sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.min("x.label").alias("l1"), F.max("x.label").alias("l2"), F.max("x.low").alias("met")).where("size > 1 and l1 <> l2 and met")
     sizes = materialize(sizes.select("token", "size"), "alike-sizes")
 
-    one = lists.join(sizes.where(F.col("size") <= longest), "token").drop("size")
-    both = one.join(one.withColumnRenamed("x", "y"), "token")
+    one = sorted_join(lists, sizes.where(F.col("size") <= longest), "token").drop("size")
+    both = sorted_join(one, one.withColumnRenamed("x", "y"), "token")
     least = F.ceil(F.lit(t / (1 + t)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-6))
     behind = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1
     before = F.struct("x.n", "x.dig") < F.struct("y.n", "y.dig")
@@ -167,7 +167,7 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, similarity: float, longest: i
         p, q = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
         return pa.table({"p": pa.array(p, pa.int64()), "q": pa.array(q, pa.int64())})
 
-    many = lists.join(sizes.where(F.col("size") > longest), "token").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    many = sorted_join(lists, sizes.where(F.col("size") > longest), "token").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
     many = many.withColumn("part", F.pmod(F.xxhash64("x.dig"), F.col("parts")).cast("int"))
     many = many.select("token", "x.n", "x.dig", "x.at", "x.label", "x.low", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     many = many.withColumns({"own": F.least("part", "with"), "other": F.greatest("part", "with")}).drop("with")
@@ -205,8 +205,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     flat = pairs.select(F.col("a.dig").alias("da"), F.col("b.dig").alias("db"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    first = flat.join(sets.select(F.col("dig").alias("da"), F.col("hashes").alias("ha")), "da")
-    both = first.join(sets.select(F.col("dig").alias("db"), F.col("hashes").alias("hb")), "db").select("a", "b", "ha", "hb")
+    first = sorted_join(flat, sets.select(F.col("dig").alias("da"), F.col("hashes").alias("ha")), "da")
+    both = sorted_join(first, sets.select(F.col("dig").alias("db"), F.col("hashes").alias("hb")), "db").select("a", "b", "ha", "hb")
     return materialize(both.mapInArrow(run, "a long, b long").distinct(), "alike-links")
 
 
