@@ -63,15 +63,11 @@ def word_postings(cut: DataFrame, weights: dict[str, float], terms: list[str]) -
         known = pa.array(terms, pa.string())
         for b in batches:
             docs = b.column("doc_id").to_numpy()
-            dl, found = np.zeros(len(docs), dtype=np.int64), [[], [], []]
-            for c, w in weights.items():
-                size = np.diff(b.column(c).offsets.to_numpy())
-                dl += size
-                at = pc.fill_null(pc.index_in(b.column(c).flatten(), value_set=known), -1).to_numpy()
-                row = np.repeat(np.arange(len(docs)), size)
-                for x, y in zip(found, (row[at >= 0], at[at >= 0], np.full(np.count_nonzero(at >= 0), w)), strict=True):
-                    x.append(y)
-            yield _postings(docs, dl, *(np.concatenate(x) for x in found), len(terms))
+            sizes = [np.diff(b.column(c).offsets.to_numpy()) for c in weights]
+            found = pc.index_in(pa.chunked_array([b.column(c).flatten() for c in weights], pa.string()), value_set=known)  # once a batch: it hashes all terms
+            at = pc.fill_null(found, -1).to_numpy()
+            row, weight = np.concatenate([np.repeat(np.arange(len(docs)), x) for x in sizes]), np.repeat([*weights.values()], [x.sum() for x in sizes])
+            yield _postings(docs, sum(sizes), row[at >= 0], at[at >= 0], weight[at >= 0], len(terms))
 
     return cut.select("doc_id", *weights).mapInArrow(run, POSTINGS)
 

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while a table is written: a text has any length, and many places where a term stands.
+ROWS = 1_024
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -24,10 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, until the session ends: lineage ends there, so what made it runs once."""
+    """``df`` as Parquet in the shared folder, until the session ends: lineage ends there, so what made it runs once. Python gets batches of ``ROWS`` rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(key)
+    if not 0 < int(rows) <= ROWS:
+        spark.conf.set(key, str(ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, rows)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))

@@ -61,7 +61,8 @@ def lists(spark, d, depth=S.DEPTH, facets=S.ALL):
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return R.top(out.where(F.col("facet").isin(*facets)), depth, "query_id", "facet")
+    # Dealt anew: Spark takes a union of parts by query as one by query, and a join after it fails where their partitions aren't the same in number.
+    return R.top(out.where(F.col("facet").isin(*facets)).repartition("query_id", "facet"), depth, "query_id", "facet")
 
 
 def understood(spark, d):

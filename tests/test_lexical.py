@@ -53,3 +53,33 @@ def test_documents_are_cut_once_for_all_queries(spark):
     queries = spark.range(3000).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), (F.col("id") % 60).cast("string")).alias("text"))
     assert X.word_list(docs, queries, 2).select("query_id").distinct().count() == 3000
     assert cut.value == len(TEXTS)
+
+
+@pytest.mark.parametrize("kind", [X.word_list, X.part_list])
+def test_python_gets_batches_of_few_documents(spark, kind):
+    large = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            large.add(b.num_rows > 1024)
+            yield b
+
+    docs = spark.range(5000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word w"), F.col("id").cast("string")).alias("body")).mapInArrow(seen, "doc_id long, body string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = kind(docs, spark.createDataFrame([(1, "w4999")], "query_id long, text string"), 5).collect()
+    assert [(r.query_id, r.doc_id) for r in got] == [(1, 4999)] and large.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_page_signals_where_partitions_stay_as_dealt(spark):
+    from stackleaf.plans import search
+
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        assert search.q_signals(spark, "/root/testdata/sf0.001").count() == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
