@@ -39,6 +39,27 @@ def test_no_pairs_in_the_shuffle(spark):
     assert "digests_of_others" in sessions.q_beside.__code__.co_names
 
 
+def test_a_part_holds_a_piece_at_a_time(spark, monkeypatch):
+    """Several pieces a session, ids that stand twice, and texts that are null: no row of the exchange has a whole session, and the digests are those of all others."""
+    monkeypatch.setattr(T, "PIECE", 100)
+    rows = [(s, i, None if i % 11 == 0 else f"{i % 7}|" * (i % 3)) for s in (5, 6) for i in range(s * 1000, s * 1000 + 950)] + [(5, i, "x") for i in range(5000, 5950, 50)] * 2
+    rows += [(7, i, None) for i in range(9000, 9070)] + [(8, 9500, "one")] * 70
+    sent = []
+    kept = T.written
+    monkeypatch.setattr(T, "written", lambda df, name: kept(sent.append(df) or df, name))
+    got = T.digests_of_others(spark.createDataFrame(rows, "session long, id long, text string"), "session", 64, 200, 300).collect()
+    want = {}
+    for s in (5, 6, 7):
+        own = sorted((i, t or "", t is None) for r, i, t in rows if r == s)
+        for k in {i for i, _, _ in own}:
+            c = sum(i == k for i, _, _ in own)
+            texts = [t for i, t, null in own if i != k and not null for _ in range(c)]
+            want[k] = ((len(own) - c) * c, hashlib.md5("|".join(texts).encode()).hexdigest())
+    assert len(got) == len(want) and {r.id: (r.n, r.digest) for r in got} == want
+    plans = "".join(plan(df) for df in sent)
+    assert "MapInArrow" in plans and "FlatMapGroupsInArrow" not in plans
+
+
 def test_best_other(spark):
     rows = members(spark).select("session", "id")
     strength = lambda i: 1.0 / (1.0 + 0.2 * (i // 10 % 10))
